@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -25,57 +25,56 @@ def _v6_pattern() -> str:
 _V6_PATTERN = _v6_pattern()
 
 
-def is_ip_address(token: Column) -> Column:
-    return F.when(token.contains(":"), token.rlike(_V6_PATTERN)).otherwise(
-        token.rlike(rf"^{_V4}$")
+def is_ip_address(token: str) -> str:
+    """SQL condition: the text of column ``token`` is an IP address."""
+    return (
+        f"CASE WHEN contains({token}, ':') THEN {token} RLIKE r'{_V6_PATTERN}'"
+        f" ELSE {token} RLIKE r'^{_V4}$' END"
     )
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def normalize_hostname(name: Column) -> Column:
-    return F.lower(F.regexp_replace(strip(name), r"\.+$", ""))
-
-
 def or_else(text: Column, *others: Column) -> Column:
     """First of the texts that is neither NULL nor empty, else ''."""
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in (text, *others)], F.lit(""))
 
 
-def source_details(source: Column, ptr_hostname: Column | None = None) -> Column:
-    """struct(source, source_ip, source_hostname, source_display) of a raw token.
+def add_source_details(rows: DataFrame, source: str, ptr_hostname: str | None = None) -> DataFrame:
+    """Adds source_ip, source_hostname and source_display of the raw token in ``source``.
 
-    ``ptr_hostname`` is the looked-up name of the address, if there is one; it is
-    ignored when empty, when it only repeats the address, or for host names.
+    ``ptr_hostname`` names the column with the looked-up name of the address, if
+    there is one; it is ignored when it only repeats the address, or for host names.
     """
-    token = strip(F.coalesce(source, F.lit("")))
-    by_name = normalize_hostname(token)
+    def host_name(text: str) -> str:
+        trimmed = rf"regexp_replace({text}, r'(?U)^\s+|\s+$', '')"
+        return rf"lower(regexp_replace({trimmed}, r'\.+$', ''))"
+
+    token = rf"regexp_replace(coalesce({source}, ''), r'(?U)^\s+|\s+$', '')"
+    by_name = host_name("_token")
+    if ptr_hostname is None:
+        hostname = f"CASE WHEN _is_ip THEN '' ELSE {by_name} END"
+    else:
+        hostname = f"CASE WHEN _is_ip THEN {host_name(ptr_hostname)} ELSE {by_name} END"
+    named = rows.withColumn("_token", F.expr(token)).withColumn("_is_ip", F.expr(is_ip_address("_token")))
+    named = named.withColumn("_name", F.expr(f"coalesce({hostname}, '')"))
     if ptr_hostname is None:
-        address_name = F.lit("")
-        address_display = token
+        display = "CASE WHEN _name = '' THEN _token ELSE _name END"
     else:
-        found = normalize_hostname(F.coalesce(ptr_hostname, F.lit("")))
-        address_name = F.when(found == token, F.lit("")).otherwise(found)
-        address_display = F.when(address_name == "", token).otherwise(
-            F.concat(address_name, F.lit(" ("), token, F.lit(")"))
+        named = named.withColumn("_name", F.expr("CASE WHEN _is_ip AND _name = _token THEN '' ELSE _name END"))
+        display = (
+            "CASE WHEN _name = '' THEN _token"
+            " WHEN _is_ip THEN concat(_name, ' (', _token, ')') ELSE _name END"
         )
-    is_ip = is_ip_address(token)
-    hostname = F.when(is_ip, address_name).otherwise(by_name)
-    display = F.when(is_ip, address_display).otherwise(or_else(by_name, token))
-    return F.struct(
-        display.alias("source"),
-        token.alias("source_ip"),
-        hostname.alias("source_hostname"),
-        display.alias("source_display"),
-    )
+    return named.withColumns(
+        {
+            "source_ip": F.col("_token"),
+            "source_hostname": F.col("_name"),
+            "source_display": F.expr(display),
+        }
+    ).drop("_token", "_is_ip", "_name")
 
 
-def is_remote(source: Column) -> Column:
+def is_remote(source: str) -> Column:
     """Sessions from elsewhere: not local terminals, multiplexers or X displays."""
-    return (
-        (source != "")
-        & ~source.startswith("tmux")
-        & ~source.rlike(r"^:\d+(?:\.\d+)?$")
+    return F.expr(
+        rf"{source} <> '' AND NOT startswith({source}, 'tmux') AND NOT {source} RLIKE r'^:\d+(?:\.\d+)?$'"
     )

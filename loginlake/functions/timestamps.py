@@ -10,18 +10,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schemas import MONTHS
 
 _MONTHS = "".join(MONTHS)
+# Fixed formats: "Mar  8 00:17:01 host " and "2026-03-08T00:17:01+01:00 host " in front of a message.
 _HEADER = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+)\s"
-_ISO_HOST = r"^\d{4}-\d{2}-\d{2}T\S+\s+(\S+)\s"
+_ISO_HEADER = r"^\d{4}-\d{2}-\d{2}T\S+\s+(\S+)\s"
 
 
-def header_fields(line: Column) -> Column:
+def header_fields(line: str) -> Column:
     """[month, day, time, host] of a syslog header, or [''] without one."""
-    return F.split(F.regexp_extract(line, _HEADER, 1), r"\s+", 4)
+    return F.expr(rf"split(regexp_extract({line}, r'{_HEADER}', 1), r'\s+', 4)")
 
 
-def header_host(line: Column, header: Column) -> Column:
+def header_host(line: str, header: str) -> Column:
     """Host named in the header; lines with an ISO date in front have it second."""
-    return F.coalesce(F.get(header, F.lit(3)), F.regexp_extract(line, _ISO_HOST, 1))
+    return F.expr(f"coalesce(get({header}, 3), regexp_extract({line}, r'{_ISO_HEADER}', 1))")
 
 
 def as_of_column(as_of) -> Column:
@@ -34,30 +35,35 @@ def as_of_column(as_of) -> Column:
     return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def syslog_timestamp(header: Column, as_of, leap_day: bool = True) -> Column:
-    """Date-time of a header, whose missing year is the latest that is not in the future.
+def add_syslog_timestamp(rows: DataFrame, header: str, as_of, leap_day: bool = True) -> DataFrame:
+    """Adds ``ts``; the year, which headers lack, is the latest that is not in the future.
 
     ``as_of`` plays the part of the clock; it may be a column (for instance the
     modification time of the file) when one table spans several years.  With
     ``leap_day=False`` the 29th of February gives NULL.
     """
-    now = as_of_column(as_of)
-    place = F.instr(F.lit(_MONTHS), F.lower(F.get(header, F.lit(0))))
-    month = F.when((place + 2) % 3 == 0, (place + 2) / 3).cast("int")
-    day, time = F.get(header, F.lit(1)), F.get(header, F.lit(2))
-    rest = F.concat(F.lit("-"), month, F.lit("-"), day, F.lit(" "), time)
-
-    def in_year(year: Column) -> Column:
-        # the cast checks day, hour, minute and second; what does not exist becomes NULL
-        return F.concat(year, rest).try_cast("timestamp_ntz")
-
-    this_year, last_year = in_year(F.year(now)), in_year(F.year(now) - 1)
-    ahead = this_year > now + F.expr("INTERVAL 1 DAY")
-    is_leap = rest.startswith("-2-29 ")
+    place = f"instr('{_MONTHS}', lower(get({header}, 0)))"
+    month = f"CASE WHEN {place} % 3 = 1 THEN ({place} + 2) DIV 3 END"
+    rows = rows.withColumns(
+        {
+            "_now": as_of_column(as_of),
+            "_day": F.expr(f"concat('-', {month}, '-', get({header}, 1), ' ', get({header}, 2))"),
+        }
+    )
+    # the cast checks day, hour, minute and second; what does not exist becomes NULL
+    rows = rows.withColumns(
+        {
+            "_this": F.expr("try_cast(concat(year(_now), _day) AS timestamp_ntz)"),
+            "_last": F.expr("try_cast(concat(year(_now) - 1, _day) AS timestamp_ntz)"),
+        }
+    )
     if leap_day:
         # a leap day that this year lacks can only be last year's
-        return F.when(ahead | (this_year.isNull() & is_leap), last_year).otherwise(this_year)
-    return F.when(~is_leap, F.when(ahead, last_year).otherwise(this_year))
+        late = "_this > _now + INTERVAL 1 DAY OR (_this IS NULL AND startswith(_day, '-2-29 '))"
+        ts = f"CASE WHEN {late} THEN _last ELSE _this END"
+    else:
+        ts = "CASE WHEN startswith(_day, '-2-29 ') THEN NULL WHEN _this > _now + INTERVAL 1 DAY THEN _last ELSE _this END"
+    return rows.withColumn("ts", F.expr(ts)).drop("_now", "_day", "_this", "_last")
 
 
 def parse_time_argument(value, session_zone: str = "UTC") -> datetime | None:

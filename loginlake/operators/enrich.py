@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.sources import source_details
+from ..functions.sources import add_source_details
 from ..schemas import HOSTNAME_TTL_SECONDS, NO_HOSTNAME_TTL_SECONDS
 from .chunks import following
 
@@ -18,13 +18,7 @@ def latest_hostnames(ptr: DataFrame) -> DataFrame:
 
 
 def _with_hostname(rows: DataFrame) -> DataFrame:
-    details = source_details(F.col("source_ip"), F.col("ptr_hostname"))
-    return rows.withColumns(
-        {
-            "source_hostname": details["source_hostname"],
-            "source_display": details["source_display"],
-        }
-    ).drop("ptr_hostname", "ip")
+    return add_source_details(rows, "source_ip", "ptr_hostname").drop("ptr_hostname", "ip")
 
 
 def enrich_hosts(rows: DataFrame, ptr: DataFrame) -> DataFrame:

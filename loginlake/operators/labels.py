@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.sources import or_else, source_details
+from ..functions.sources import add_source_details, or_else
 from ..schemas import LABEL_CAPS, OVERFLOW_LABEL
 from .sessions import correlate, session_rows
 
@@ -128,8 +128,8 @@ def _first_seen(sightings: DataFrame, with_display: bool) -> DataFrame:
 
 
 def _named(ranked: DataFrame) -> DataFrame:
-    shown = F.coalesce("display", source_details(F.col("value"))["source_display"])
-    return ranked.select(
+    shown = F.coalesce("display", "source_display")
+    return add_source_details(ranked, "value").select(
         "dimension", "value",
         F.when(F.col("dimension") == "source_ip", shown).otherwise("").alias("display"),
         "position",

@@ -4,45 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.timestamps import header_fields, header_host, syslog_timestamp
+from ..functions.timestamps import add_syslog_timestamp, header_fields, header_host
 from ..schemas import KIND_GROUPS, KIND_MARKER, KIND_PATTERN, KINDS
 
 _FIELDS = ("pid", "user", "source_ip", "port", "auth_method", "invalid", "fwd_host", "fwd_port")
 
 
-def _pattern(kind: str) -> str:
-    # Unicode classes, so that spaces and digits mean what they mean in the log's text
-    return "(?U)" + KIND_PATTERN[kind]
+def event_kind(line: str) -> str:
+    """SQL: kind of the first pattern found anywhere in the line, NULL for other lines."""
+    # (?U): Unicode classes, so that spaces and digits mean what they mean in the log's text
+    cases = [
+        f"WHEN contains({line}, '{KIND_MARKER[k]}') AND {line} RLIKE r'(?U){KIND_PATTERN[k]}' THEN '{k}'"
+        for k in KINDS
+    ]
+    return f"CASE {' '.join(cases)} END"
 
 
-def event_kind(line: Column) -> Column:
-    """Kind of the first pattern found anywhere in the line, NULL for other lines."""
-    result = None
-    for kind in KINDS:
-        hit = line.contains(KIND_MARKER[kind]) & line.rlike(_pattern(kind))
-        result = (F if result is None else result).when(hit, kind)
-    return result
-
-
-def _captured(line: Column, kind: Column) -> Column:
-    """All captures of the line's pattern as an array in the order of ``_FIELDS``.
+def _captured(line: str) -> str:
+    """SQL: all captures of the pattern of ``kind``, as an array in the order of ``_FIELDS``.
 
     One match per line: the line is rewritten to its captures, separated by
     blanks, which no capture can contain.
     """
-    result = None
-    for name in KINDS:
-        groups = KIND_GROUPS[name]
+    cases = []
+    for kind in KINDS:
+        groups = KIND_GROUPS[kind]
         template = " ".join(f"${groups[f]}" if f in groups else "" for f in _FIELDS)
-        whole = "(?Us)^.*?(?:" + KIND_PATTERN[name] + ").*$"
-        result = (F if result is None else result).when(
-            kind == name, F.regexp_replace(line, whole, template)
-        )
-    return F.split(result, " ")
+        whole = f"(?Us)^.*?(?:{KIND_PATTERN[kind]}).*$"
+        cases.append(f"WHEN '{kind}' THEN regexp_replace({line}, r'{whole}', '{template}')")
+    return f"split(CASE kind {' '.join(cases)} END, ' ')"
 
 
-def is_recognised(line: Column) -> Column:
-    return line.contains("sshd[") & event_kind(line).isNotNull()
+def is_recognised(line: str) -> Column:
+    return F.expr(f"contains({line}, 'sshd[') AND {event_kind(line)} IS NOT NULL")
 
 
 def parse_auth_events(
@@ -53,31 +47,29 @@ def parse_auth_events(
     ``as_of`` (date-time or column) settles the year missing in the headers.
     ``host_col`` names a column with the machine; without it the header tells.
     """
-    line = F.col("value")
-    rows = lines.filter(line.contains("sshd["))
-    rows = rows.withColumn("kind", event_kind(line)).filter(F.col("kind").isNotNull())
-    rows = rows.withColumn("_f", _captured(line, F.col("kind")))
-    rows = rows.withColumn("_h", header_fields(line))
-    field = {name: F.get("_f", F.lit(i)) for i, name in enumerate(_FIELDS)}
-    host = F.col(host_col) if host_col else header_host(line, F.col("_h"))
-
-    def text(name: str) -> Column:
-        return F.coalesce(field[name], F.lit("")).alias(name)
-
-    return rows.select(
-        F.coalesce(host, F.lit("")).alias("host"),
-        text("pid"),
+    rows = lines.filter(F.expr("contains(value, 'sshd[')"))
+    rows = rows.withColumn("kind", F.expr(event_kind("value"))).filter("kind IS NOT NULL")
+    host = F.col(host_col) if host_col else header_host("value", "_header")
+    rows = rows.withColumns({"_fields": F.expr(_captured("value")), "_header": header_fields("value")})
+    rows = add_syslog_timestamp(rows.withColumn("_host", host), "_header", as_of, leap_day)
+
+    def text(name: str) -> str:
+        return f"coalesce(get(_fields, {_FIELDS.index(name)}), '')"
+
+    return rows.selectExpr(
+        "coalesce(_host, '') AS host",
+        f"{text('pid')} AS pid",
         "kind",
-        text("user"),
-        text("source_ip"),
-        text("port"),
-        text("auth_method"),
-        (F.coalesce(field["invalid"], F.lit("")) != "").alias("invalid_user"),
-        text("fwd_host"),
-        text("fwd_port"),
-        syslog_timestamp(F.col("_h"), as_of, leap_day).alias("ts"),
+        f"{text('user')} AS user",
+        f"{text('source_ip')} AS source_ip",
+        f"{text('port')} AS port",
+        f"{text('auth_method')} AS auth_method",
+        f"{text('invalid')} <> '' AS invalid_user",
+        f"{text('fwd_host')} AS fwd_host",
+        f"{text('fwd_port')} AS fwd_port",
+        "ts",
         "seq",
-        line.alias("line"),
+        "value AS line",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.sources import or_else, source_details
+from ..functions.sources import add_source_details, or_else
 from ..functions.timestamps import as_of_column
 from .chunks import CHUNK_BITS, KEY, chunk_of, earlier, in_chunk, in_key, whole
 
@@ -14,15 +14,7 @@ _ACCEPT_FIELDS = ("source_ip", "source_hostname", "source_display", "auth_method
 
 def with_details(df: DataFrame) -> DataFrame:
     """Adds source_hostname and source_display unless an enrichment already did."""
-    if "source_display" in df.columns:
-        return df
-    details = source_details(F.col("source_ip"))
-    return df.withColumns(
-        {
-            "source_hostname": details["source_hostname"],
-            "source_display": details["source_display"],
-        }
-    )
+    return df if "source_display" in df.columns else add_source_details(df, "source_ip")
 
 
 def _attach(rows: DataFrame, window) -> DataFrame:
@@ -109,24 +101,17 @@ def correlate(
     return inner.unionByName(edge).drop("chunk", "last_auth", "settled")
 
 
-def _login_columns(login: Column, df: DataFrame, path: str) -> list[Column]:
-    names = [f.name for f in df.select(login.alias("x")).schema["x"].dataType]
+def _login_fields(rows: DataFrame, login: str) -> DataFrame:
+    """Adds the accept's details in the struct column ``login``, '' where there was none."""
+    names = [f.name for f in rows.select(F.col(login).alias("x")).schema["x"].dataType]
+    rows = rows.withColumns({n: F.coalesce(F.col(login)[n], F.lit("")) for n in names})
+    rows = with_details(rows)
+    return rows.withColumn(
+        "source_display", or_else(F.col("source_display"), F.col("source_ip"), F.col("source_hostname"))
+    )
 
-    def field(name: str) -> Column:
-        return F.coalesce(login[name], F.lit("")) if name in names else F.lit("")
 
-    if "source_display" in names:
-        hostname, display = field("source_hostname"), field("source_display")
-    else:
-        details = source_details(field("source_ip"))
-        hostname, display = details["source_hostname"], details["source_display"]
-    return [
-        field("source_ip").alias("source_ip"),
-        hostname.alias("source_hostname"),
-        or_else(display, field("source_ip"), hostname).alias("source_display"),
-        field("auth_method").alias("auth_method"),
-        field("port").alias("port"),
-    ]
+_DETAILS = ("source_ip", "source_hostname", "source_display", "auth_method", "port")
 
 
 def session_opens(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
@@ -136,9 +121,8 @@ def session_opens(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
 
 
 def _open_rows(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        *KEY, "user", *_login_columns(F.col("login"), rows, "login"),
-        F.col("ts").alias("login_time"), F.col("seq").alias("open_seq"),
+    return _login_fields(rows, "login").select(
+        *KEY, "user", *_DETAILS, F.col("ts").alias("login_time"), F.col("seq").alias("open_seq")
     )
 
 
@@ -150,10 +134,10 @@ def session_rows(correlated: DataFrame, as_of) -> DataFrame:
     """Finished sessions out of ``correlate``; a close without a date ends at ``as_of``."""
     rows = correlated.filter((F.col("kind") == CLOSED) & (F.col("open.kind") == OPENED))
     logout = F.coalesce("ts", as_of_column(as_of))
-    return rows.select(
+    return _login_fields(rows, "open.login").select(
         *KEY,
         F.col("open.user").alias("user"),
-        *_login_columns(F.col("open.login"), rows, "open.login"),
+        *_DETAILS,
         F.col("open.ts").alias("login_time"),
         logout.alias("logout_time"),
         seconds_between(F.col("open.ts"), logout).alias("duration_seconds"),

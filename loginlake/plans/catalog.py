@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.sources import is_remote, source_details
+from ..functions.sources import add_source_details, is_remote
 from ..operators import enrich, failures, labels, metrics, sessions as correlation
 from ..operators.parse import events_of, is_recognised, parse_auth_events
 from ..sources import derived, logs, who
@@ -32,43 +33,43 @@ class Inputs:
         self.spark = spark
         self.table = _table(spark, sf_dir)
 
-    @property
+    @cached_property
     def lines(self):
         return derived.log_lines(self.table)
 
-    @property
+    @cached_property
     def events(self):
         return parse_auth_events(self.lines, AS_OF)
 
-    @property
+    @cached_property
     def sessions(self):
         return correlation.sessions(self.events, AS_OF)
 
-    @property
+    @cached_property
     def failed(self):
         return failures.failed_attempts(self.events)
 
-    @property
+    @cached_property
     def snapshots(self):
         return derived.who_lines(self.table)
 
-    @property
+    @cached_property
     def active(self):
         return who.active_sessions(self.snapshots)
 
-    @property
+    @cached_property
     def ptr(self):
         return derived.ptr_rows(self.table)
 
-    @property
+    @cached_property
     def users(self):
         return metrics.unique_users(self.events)
 
-    @property
+    @cached_property
     def registry(self):
         return labels.label_registry(self.events, AS_OF)
 
-    @property
+    @cached_property
     def snapshot_registry(self):
         return labels.extend_registry(
             self.registry, labels.snapshot_sightings(self.active, self.users)
@@ -98,12 +99,15 @@ def _ts_inference(i: Inputs) -> DataFrame:
 
 
 def _source_details(i: Inputs) -> DataFrame:
-    rows = who.parse_who(i.snapshots).withColumn("d", source_details(F.col("source")))
-    return rows.select("snapshot_id", "line_no", F.col("source").alias("raw"), "d.*")
+    rows = add_source_details(who.parse_who(i.snapshots), "source")
+    return rows.select(
+        "snapshot_id", "line_no", F.col("source").alias("raw"), F.col("source_display").alias("source"),
+        "source_ip", "source_hostname", "source_display",
+    )
 
 
 _add(
-    ingest_report=lambda i: logs.ingest_report(i.lines, is_recognised(F.col("value"))),
+    ingest_report=lambda i: logs.ingest_report(i.lines, is_recognised("value")),
     parse_events=lambda i: i.events,
     event_kind_counts=lambda i: i.events.groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     ev_accepted=lambda i: events_of(i.events, "accepted"),
@@ -116,7 +120,7 @@ _add(
     ev_max_auth=lambda i: events_of(i.events, "max_auth"),
     ts_inference=_ts_inference,
     who_parse=lambda i: who.parse_who(i.snapshots),
-    who_remote=lambda i: who.parse_who(i.snapshots).filter(is_remote(F.col("source"))),
+    who_remote=lambda i: who.parse_who(i.snapshots).filter(is_remote("source")),
     source_details=_source_details,
 )
 

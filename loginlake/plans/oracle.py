@@ -130,12 +130,12 @@ now AS (SELECT * FROM act WHERE snapshot_id = (SELECT max(snapshot_id) FROM w))"
 
 _PTR = """
 ptr AS (
-  SELECT ip, full_ts AS at, CASE WHEN event_id % 3 = 0 THEN ''
+  SELECT ip, full_ts AS looked_up, CASE WHEN event_id % 3 = 0 THEN ''
          ELSE 'host' || (user_id % 7) || '-' || (user_id % 5) || '.example.com' END AS name
   FROM e WHERE event_type = 'view'
 ),
 newest AS (
-  SELECT ip, name FROM ptr p WHERE at = (SELECT max(at) FROM ptr q WHERE q.ip = p.ip)
+  SELECT ip, name FROM ptr p WHERE looked_up = (SELECT max(looked_up) FROM ptr q WHERE q.ip = p.ip)
 )"""
 
 _TEXT = """
@@ -276,8 +276,8 @@ _HEAT = """SELECT day_of_week, lpad(CAST(h AS VARCHAR), 2, '0') AS hour, count(x
   ON isodow(x.ts) = d AND hour(x.ts) = h GROUP BY ALL"""
 _ERRORS = """SELECT CASE kind WHEN 'max_auth' THEN 'max_auth_exceeded' ELSE 'port_forward_failed' END AS error_type,
   count(*) AS value FROM a WHERE kind IN ('max_auth', 'port_forward_error') GROUP BY ALL"""
-_TTL = """SELECT x.*, coalesce(CASE WHEN p.at + to_seconds(CASE WHEN p.name = '' THEN 300 ELSE 3600 END) > x.ts
-       THEN p.name END, '') AS name FROM ({rows}) x ASOF LEFT JOIN ptr p ON x.ip = p.ip AND x.ts >= p.at"""
+_TTL = """SELECT x.*, coalesce(CASE WHEN p.looked_up + to_seconds(CASE WHEN p.name = '' THEN 300 ELSE 3600 END) > x.ts
+       THEN p.name END, '') AS name FROM ({rows}) x ASOF LEFT JOIN ptr p ON x.ip = p.ip AND x.ts >= p.looked_up"""
 
 
 def _display(name: str, ip: str) -> str:

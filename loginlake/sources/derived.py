@@ -6,101 +6,75 @@ written as the line or lines of text a server would have logged for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+_NAMES = (
+    "event_id", "user_id", "event_type", "ts",
+    "CAST(user_id AS string) AS pid",
+    "concat('user', user_id % 40) AS usr",
+    "concat('ghost', event_id % 3) AS gst",
+    "concat('10.0.', user_id % 7, '.', user_id % 5) AS ip",
+    "CAST(1024 + event_id % 50000 AS string) AS port",
+    "concat(date_format(ts, 'MMM '), lpad(dayofmonth(ts), 2, ' ')) AS month_day",
+)
 
-def _names() -> dict[str, Column]:
-    event, user = F.col("event_id"), F.col("user_id")
-    return {
-        "pid": user.cast("string"),
-        "usr": F.concat(F.lit("user"), user % 40),
-        "gst": F.concat(F.lit("ghost"), event % 3),
-        "ip": F.concat(F.lit("10.0."), user % 7, F.lit("."), user % 5),
-        "port": (1024 + event % 50000).cast("string"),
-    }
-
-
-def _month_day(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "MMM"), F.lit(" "), F.lpad(F.dayofmonth(ts).cast("string"), 2, " "))
+_GHOST_FAILED = "concat('Failed password for invalid user ', gst, origin, ' ssh2')"
+_FIRST = f"""CASE event_type
+  WHEN 'signup' THEN concat('Accepted ', if(event_id % 2 = 0, 'publickey', 'password'), ' for ', usr, origin, ' ssh2')
+  WHEN 'purchase' THEN concat('pam_unix(sshd:session): session closed for user ', usr)
+  WHEN 'error' THEN if(event_id % 4 = 0, {_GHOST_FAILED}, concat('Invalid user ', gst, origin))
+  WHEN 'click' THEN if(event_id % 5 = 0,
+    concat('maximum authentication attempts exceeded for ',
+           if(event_id % 2 = 0, concat('invalid user ', gst), usr), origin, ' ssh2 [preauth]'),
+    concat('Failed password for ', usr, origin, ' ssh2'))
+  WHEN 'view' THEN CASE event_id % 4
+    WHEN 0 THEN 'error: connect_to 10.9.9.9 port 80: failed.'
+    WHEN 1 THEN 'pam_unix(cron:session): session opened for user root(uid=0) by (uid=0)'
+    ELSE concat('Connection closed by ', ip, ' port ', port, ' [preauth]') END
+END"""
+_SECOND = f"""CASE
+  WHEN event_type = 'signup' AND event_id % 7 <> 0
+    THEN concat('pam_unix(sshd:session): session opened for user ', usr, '(uid=1000) by (uid=0)')
+  WHEN event_type = 'error' AND event_id % 3 = 0 THEN {_GHOST_FAILED}
+END"""
 
 
 def log_lines(events: DataFrame) -> DataFrame:
     """(value, file_name, seq): one or two lines per event, one rotated file per day."""
-    n = _names()
-    event, kind = F.col("event_id"), F.col("event_type")
-    origin = F.concat(F.lit(" from "), n["ip"], F.lit(" port "), n["port"])
-
-    def text(*parts) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    daemon = text("sshd[", n["pid"], "]: ")
-    failed_ghost = text(daemon, "Failed password for invalid user ", n["gst"], origin, " ssh2")
-    method = F.when(event % 2 == 0, "publickey").otherwise("password")
-    target = F.when(event % 2 == 0, text("invalid user ", n["gst"])).otherwise(n["usr"])
-    first = (
-        F.when(kind == "signup", text(daemon, "Accepted ", method, " for ", n["usr"], origin, " ssh2"))
-        .when(kind == "purchase", text(daemon, "pam_unix(sshd:session): session closed for user ", n["usr"]))
-        .when((kind == "error") & (event % 4 == 0), failed_ghost)
-        .when(kind == "error", text(daemon, "Invalid user ", n["gst"], origin))
-        .when(
-            (kind == "click") & (event % 5 == 0),
-            text(daemon, "maximum authentication attempts exceeded for ", target, origin, " ssh2 [preauth]"),
-        )
-        .when(kind == "click", text(daemon, "Failed password for ", n["usr"], origin, " ssh2"))
-        .when((kind == "view") & (event % 4 == 0), text(daemon, "error: connect_to 10.9.9.9 port 80: failed."))
-        .when(
-            (kind == "view") & (event % 4 == 1),
-            text("CRON[", n["pid"], "]: pam_unix(cron:session): session opened for user root(uid=0) by (uid=0)"),
-        )
-        .when(kind == "view", text(daemon, "Connection closed by ", n["ip"], " port ", n["port"], " [preauth]"))
-    )
-    second = F.when(
-        (kind == "signup") & (event % 7 != 0),
-        text(daemon, "pam_unix(sshd:session): session opened for user ", n["usr"], "(uid=1000) by (uid=0)"),
-    ).when((kind == "error") & (event % 3 == 0), failed_ghost)
-    header = text(_month_day(F.col("ts")), " ", F.date_format("ts", "HH:mm:ss"), " host ")
-    age = 31 - F.dayofmonth("ts")
-    file_name = F.when(age == 0, "auth.log").otherwise(F.concat(F.lit("auth.log."), age))
-    exploded = events.select(
-        header.alias("header"),
-        file_name.alias("file_name"),
-        (2 * event).alias("base"),
-        F.posexplode(F.array(first, second)).alias("nth", "message"),
-    ).filter(F.col("message").isNotNull())
-    return exploded.select(
-        F.concat("header", "message").alias("value"),
-        "file_name",
-        (F.col("base") + F.col("nth")).alias("seq"),
+    daemon = "if(event_type = 'view' AND event_id % 4 = 1, 'CRON[', 'sshd[')"
+    rows = events.selectExpr(*_NAMES).selectExpr(
+        "*",
+        "concat(' from ', ip, ' port ', port) AS origin",
+        f"concat(month_day, date_format(ts, ' HH:mm:ss'), ' host ', {daemon}, pid, ']: ') AS header",
     )
+    rows = rows.selectExpr(
+        "header",
+        "if(dayofmonth(ts) = 31, 'auth.log', concat('auth.log.', 31 - dayofmonth(ts))) AS file_name",
+        "2 * event_id AS base",
+        f"posexplode(array({_FIRST}, {_SECOND})) AS (nth, message)",
+    ).filter("message IS NOT NULL")
+    return rows.selectExpr("concat(header, message) AS value", "file_name", "base + nth AS seq")
 
 
 def who_lines(events: DataFrame) -> DataFrame:
     """(snapshot_id, line_no, value): one snapshot per day, one line per signup of that day."""
-    n = _names()
-    event, user = F.col("event_id"), F.col("user_id")
-    when = F.when(event % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm")).otherwise(
-        F.concat(_month_day(F.col("ts")), F.date_format("ts", " HH:mm"))
-    )
-    source = (
-        F.when(event % 11 == 0, "")
-        .when(user % 4 == 0, F.concat(F.lit(" "), n["ip"]))
-        .when(user % 4 == 1, F.concat(F.lit(" ("), n["ip"], F.lit(")")))
-        .when(user % 4 == 2, " :0")
-        .otherwise(F.concat(F.lit(" Client"), user % 9, F.lit(".Example.COM.")))
-    )
-    return events.filter(F.col("event_type") == "signup").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("snapshot_id"),
-        event.alias("line_no"),
-        F.concat(n["usr"], F.lit(" pts/"), event % 10, F.lit(" "), when, source).alias("value"),
+    return events.filter("event_type = 'signup'").selectExpr(*_NAMES).selectExpr(
+        "date_format(ts, 'yyyy-MM-dd') AS snapshot_id",
+        "event_id AS line_no",
+        """concat(usr, ' pts/', event_id % 10, ' ',
+          if(event_id % 2 = 0, date_format(ts, 'yyyy-MM-dd HH:mm'), concat(month_day, date_format(ts, ' HH:mm'))),
+          CASE WHEN event_id % 11 = 0 THEN ''
+            WHEN user_id % 4 = 0 THEN concat(' ', ip)
+            WHEN user_id % 4 = 1 THEN concat(' (', ip, ')')
+            WHEN user_id % 4 = 2 THEN ' :0'
+            ELSE concat(' Client', user_id % 9, '.Example.COM.') END) AS value""",
     )
 
 
 def ptr_rows(events: DataFrame) -> DataFrame:
     """(ip, hostname, resolved_at): one lookup per view; a third of them found no name."""
-    event, user = F.col("event_id"), F.col("user_id")
-    name = F.when(event % 3 == 0, "").otherwise(
-        F.concat(F.lit("Host"), user % 7, F.lit("-"), user % 5, F.lit(".Example.com."))
-    )
-    return events.filter(F.col("event_type") == "view").select(
-        _names()["ip"].alias("ip"), name.alias("hostname"), F.col("ts").alias("resolved_at")
+    return events.filter("event_type = 'view'").selectExpr(*_NAMES).selectExpr(
+        "ip",
+        """if(event_id % 3 = 0, '', concat('Host', user_id % 7, '-', user_id % 5, '.Example.com.')) AS hostname""",
+        "ts AS resolved_at",
     )

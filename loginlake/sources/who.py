@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.sources import is_remote, source_details
+from ..functions.sources import add_source_details, is_remote
+from ..operators.enrich import latest_hostnames
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -16,71 +17,44 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _source_start(tokens: Column) -> Column:
-    """1-based position of the first source token, NULL if the line names no source."""
-
-    def token(i: int) -> Column:
-        return F.get(tokens, F.lit(i - 1))
-
-    size = F.size(tokens)
-    in_brackets = F.array_position(
-        F.transform(
-            F.slice(tokens, F.lit(5), F.greatest(size - 4, F.lit(0))),
-            lambda t: t.startswith("("),
-        ),
-        True,
-    )
-    bare_time = r"^\d{2}:\d{2}$"
-    iso = token(3).rlike(r"^\d{4}-\d{2}-\d{2}$") & token(4).rlike(bare_time)
-    month = (
-        token(3).rlike(r"^[A-Z][a-z]{2}$")
-        & token(4).rlike(r"^\d{1,2}$")
-        & token(5).rlike(bare_time)
-    )
-    return (
-        F.when(size < 5, F.lit(None))
-        .when(
-            F.element_at(tokens, -1).endswith(")"),
-            F.when(in_brackets > 0, in_brackets + 4),
-        )
-        .when(iso, F.lit(5))
-        .when(month & (size >= 6), F.lit(6))
-        .cast("int")
-    )
+# 1-based position of the first source token, NULL if the line names no source.
+_SOURCE_START = r"""CASE
+  WHEN size(tokens) < 5 THEN NULL
+  WHEN endswith(element_at(tokens, -1), ')') THEN
+    4 + nullif(array_position(transform(slice(tokens, 5, size(tokens)), t -> startswith(t, '(')), true), 0)
+  WHEN tokens[2] RLIKE r'^\d{4}-\d{2}-\d{2}$' AND tokens[3] RLIKE r'^\d{2}:\d{2}$' THEN 5
+  WHEN size(tokens) >= 6 AND tokens[2] RLIKE r'^[A-Z][a-z]{2}$' AND tokens[3] RLIKE r'^\d{1,2}$'
+    AND tokens[4] RLIKE r'^\d{2}:\d{2}$' THEN 6
+END"""
 
 
 def parse_who(lines: DataFrame) -> DataFrame:
     """(snapshot_id, line_no, user, tty, login_time, source) of the usable lines."""
-    tokens = F.split(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    rows = lines.select("snapshot_id", "line_no", tokens.alias("tokens")).filter(
-        F.size("tokens") >= 4
-    )
-    rows = rows.withColumn("start", _source_start(F.col("tokens")))
-    bracketed = F.array_join(F.slice("tokens", F.col("start"), F.size("tokens")), " ")
-    bracketed = F.regexp_replace(F.regexp_replace(bracketed, r"^[()]+", ""), r"[()]+$", "")
-    source = F.when(F.element_at("tokens", -1).endswith(")"), bracketed).otherwise(
-        F.get("tokens", F.col("start") - 1)
-    )
-    end = F.coalesce("start", F.size("tokens") + 1)
-    return rows.select(
+    tokens = r"split(regexp_replace(value, r'(?U)^\s+|\s+$', ''), r'(?U)\s+') AS tokens"
+    rows = lines.selectExpr("snapshot_id", "line_no", tokens).filter("size(tokens) >= 4")
+    rows = rows.withColumn("start", F.expr(_SOURCE_START).cast("int"))
+    inside = "array_join(slice(tokens, start, size(tokens)), ' ')"
+    return rows.selectExpr(
         "snapshot_id",
         "line_no",
-        F.get("tokens", F.lit(0)).alias("user"),
-        F.get("tokens", F.lit(1)).alias("tty"),
-        F.array_join(F.slice("tokens", F.lit(3), end - 3), " ").alias("login_time"),
-        F.when(F.col("start").isNull(), "").otherwise(source).alias("source"),
+        "tokens[0] AS user",
+        "tokens[1] AS tty",
+        "array_join(slice(tokens, 3, coalesce(start, size(tokens) + 1) - 3), ' ') AS login_time",
+        f"""CASE WHEN start IS NULL THEN ''
+          WHEN endswith(element_at(tokens, -1), ')') THEN trim(BOTH '()' FROM {inside})
+          ELSE tokens[start - 1] END AS source""",
     )
 
 
 def active_sessions(lines: DataFrame, ptr: DataFrame | None = None) -> DataFrame:
     """Remote sessions of every snapshot with their source details."""
-    from ..operators.enrich import latest_hostnames
-
-    rows = parse_who(lines).filter(is_remote(F.col("source")))
+    rows = parse_who(lines).filter(is_remote("source"))
     name = None
     if ptr is not None:
         names = latest_hostnames(ptr)
         rows = rows.join(names, F.trim(rows.source) == names.ip, "left")
-        name = F.col("ptr_hostname")
-    rows = rows.withColumn("details", source_details(F.col("source"), name))
-    return rows.select("snapshot_id", "line_no", "user", "tty", "login_time", "details.*")
+        name = "ptr_hostname"
+    return add_source_details(rows, "source", name).select(
+        "snapshot_id", "line_no", "user", "tty", "login_time",
+        F.col("source_display").alias("source"), "source_ip", "source_hostname", "source_display",
+    )
