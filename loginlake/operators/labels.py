@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from ..functions.sources import add_source_details, or_else
 from ..schemas import LABEL_CAPS, OVERFLOW_LABEL
 from .sessions import correlate, session_rows
+from .storage import stored
 
 _BROADCAST_ROWS = 10_000  # a registry above this many rows is not broadcast by hint
 _WINDOW_ROWS = 1_000  # Spark keeps the per-task top rows of a window up to this rank
@@ -22,6 +23,10 @@ class LabelRegistry:
     rows: DataFrame  # dimension, value, display, position
     caps: dict[str, int] = field(default_factory=lambda: dict(LABEL_CAPS))
 
+    def stored(self) -> LabelRegistry:
+        """The registry computed now, once for all metrics that use it."""
+        return LabelRegistry(stored(self.rows), self.caps)
+
     def small(self, lookup: DataFrame) -> DataFrame:
         """Broadcast hint for a lookup made of ``rows``, if the caps keep it small."""
         return F.broadcast(lookup) if sum(self.caps.values()) <= _BROADCAST_ROWS else lookup

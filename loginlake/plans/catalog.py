@@ -67,13 +67,13 @@ class Inputs:
 
     @cached_property
     def registry(self):
-        return labels.label_registry(self.events, AS_OF)
+        return labels.label_registry(self.events, AS_OF).stored()
 
     @cached_property
     def snapshot_registry(self):
         return labels.extend_registry(
             self.registry, labels.snapshot_sightings(self.active, self.users)
-        )
+        ).stored()
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -143,7 +143,7 @@ _add(
     m_logouts=lambda i: metrics.logouts(i.events, i.registry),
     m_failed=lambda i: metrics.failed_logins(i.failed, i.registry),
     m_failed_bounded=lambda i: metrics.failed_logins(
-        i.failed, labels.label_registry(i.events, AS_OF, SMALL_CAPS)
+        i.failed, labels.label_registry(i.events, AS_OF, SMALL_CAPS).stored()
     ),
     m_invalid=lambda i: metrics.invalid_user_attempts(i.failed, i.registry),
     m_active=lambda i: metrics.active_session_gauge(i.active, i.snapshots, i.snapshot_registry),
