@@ -59,13 +59,13 @@ def _sightings(rows: DataFrame, *labels) -> DataFrame:
     )
 
 
-def log_sightings(events: DataFrame, as_of, carried: DataFrame | None = None) -> DataFrame:
+def log_sightings(events: DataFrame, as_of, finished: DataFrame | None = None) -> DataFrame:
     """(dimension, value, display, at): every use of a label value by the log.
 
     A merged report of an invalid user repeats values its first report has used
     already, so all reports can be read without merging.  A finished session uses
     its own user's name just before the user of the closing line; the pairs are only
-    needed where the two differ.
+    needed where the two differ.  ``finished`` may bring ``session_rows`` made already.
     """
     kind = F.col("kind")
     seen = events.filter(
@@ -80,7 +80,9 @@ def log_sightings(events: DataFrame, as_of, carried: DataFrame | None = None) ->
         ("source_ip", or_else(F.col("source_ip"), display), display, kind != "session_closed"),
         ("auth_method", F.col("auth_method"), none, kind == "accepted"),
     )
-    pairs = session_rows(correlate(events, carried=carried), as_of).filter(
+    if finished is None:
+        finished = session_rows(correlate(events), as_of)
+    pairs = finished.filter(
         (F.col("user") != F.col("close_user")) & (F.col("duration_seconds") >= 0)
     ).withColumnRenamed("close_seq", "seq")
     opened = _sightings(pairs.withColumn("at", _at(pairs, 0)), ("user", F.col("user"), none, F.lit(True)))

@@ -146,12 +146,13 @@ def latest_snapshot(snapshots: DataFrame) -> Column:
 
 def active_session_gauge(active: DataFrame, snapshots: DataFrame, registry: LabelRegistry | None = None) -> DataFrame:
     """Sessions per label set in the newest snapshot; 0 for sets of earlier ones."""
-    rows = active.select("snapshot_id", "user", "source_ip", "source_display")
+    here = F.col("snapshot_id") == latest_snapshot(snapshots)
+    rows = active.select("user", "source_ip", "source_display", here.alias("here"))
     if registry is None:
         rows = rows.withColumn("source_ip", or_else(F.col("source_ip"), F.col("source_display")))
     rows = apply_labels(rows, registry)
     return rows.groupBy("user", "source_ip", "source_display").agg(
-        F.count_if(F.col("snapshot_id") == latest_snapshot(snapshots)).alias("value")
+        F.count_if("here").alias("value")
     )
 
 

@@ -69,8 +69,9 @@ def correlate(
 ) -> DataFrame:
     """One row per open and close: its own fields, ``login``, ``open`` and ``is_last``.
 
-    ``is_last`` marks the last open or close of a (host, pid).  ``carried`` are
-    pending rows of an earlier run in the layout of ``pending_rows``.
+    ``is_last`` marks the last open or close of a (host, pid).  Accepts appear only
+    where no accept or open follows, which ``is_last`` marks too.  ``carried`` are
+    the ``pending_rows`` of earlier batches.
     """
     rows = events.filter(F.col("kind").isin(*kinds))
     fields = [f for f in _ACCEPT_FIELDS if f in rows.columns]
@@ -95,12 +96,29 @@ def correlate(
     inner = rows.filter((F.col("kind") != ACCEPTED) & F.col("settled") & ~F.col("is_last"))
     # what reaches beyond its chunk, and the rows such rows may refer to
     edge = rows.filter(~F.col("settled") | F.col("last_auth") | F.col("is_last"))
-    edge = edge.withColumn("wanted", (F.col("kind") != ACCEPTED) & (~F.col("settled") | F.col("is_last")))
-    edge = _attach(edge, in_key()).withColumn("is_last", _is_last((OPENED, CLOSED), in_key()))
-    edge = edge.filter("wanted").select(inner.columns)
+    edge = edge.withColumn("wanted", (F.col("kind") == ACCEPTED) | ~F.col("settled") | F.col("is_last"))
+    edge = _attach(edge, in_key()).withColumns(
+        {
+            "is_last": _is_last((OPENED, CLOSED), in_key()),
+            "last_auth": _is_last((ACCEPTED, OPENED), in_key()),
+        }
+    )
+    edge = edge.withColumn(
+        "is_last", F.when(F.col("kind") == ACCEPTED, F.col("last_auth")).otherwise(F.col("is_last"))
+    )
+    edge = edge.filter((F.col("kind") != ACCEPTED) & F.col("wanted") | (F.col("kind") == ACCEPTED) & F.col("is_last"))
+    edge = edge.select(inner.columns)
     return inner.unionByName(edge).drop("chunk", "last_auth", "settled")
 
 
+def pending_rows(correlated: DataFrame) -> DataFrame:
+    """What a later batch may still need: unused accepts and open sessions."""
+    rows = correlated.filter(F.col("is_last") & (F.col("kind") != CLOSED))
+    return rows.select(
+        *KEY, "seq", "kind", "user", "ts", "login", "open", (F.col("kind") == OPENED).alias("settled")
+    )
+
+
 def _login_fields(rows: DataFrame, login: str) -> DataFrame:
     """Adds the accept's details in the struct column ``login``, '' where there was none."""
     names = [f.name for f in rows.select(F.col(login).alias("x")).schema["x"].dataType]
