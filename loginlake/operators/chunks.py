@@ -15,31 +15,22 @@ KEY = ("host", "pid")
 CHUNK_BITS = 20  # at most 2**20 arrival positions in a chunk
 
 
-def chunk_of(df: DataFrame, order: str = "seq", bits: int = CHUNK_BITS) -> Column:
-    """Chunk of a row: its block of 2**bits arrival positions, never across two file blocks."""
-    if not isinstance(df.schema[order].dataType, StructType):
-        return F.shiftright(order, bits)
-    seq = F.col(order)
-    names = df.schema[order].dataType.names
-    row_in_partition = seq[names[-1]].bitwiseAND(F.lit((1 << 33) - 1))
-    return F.struct(*[seq[n].alias(n) for n in names[:-1]], F.shiftright(row_in_partition, bits).alias("part"))
-
-
-def in_chunk(*extra: str):
-    return Window.partitionBy(*KEY, "chunk", *extra).orderBy("seq")
-
-
-def in_key(order: str = "seq"):
-    return Window.partitionBy(*KEY).orderBy(order)
-
-
-def earlier(window):
-    """All rows before the current one."""
-    return window.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def whole(window):
-    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def add_chunk(df: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+    """Adds the chunk of a row: its block of 2**bits positions, never across two file blocks."""
+    order = df.schema["seq"].dataType
+    if not isinstance(order, StructType):
+        return df.withColumn("chunk", F.shiftright("seq", bits))
+    *outer, row_id = order.names
+    # the low 33 bits of a row id count the rows of one task
+    part = f"shiftright(seq.{row_id} & {(1 << 33) - 1}, {bits}) AS part"
+    return df.withColumn("chunk", F.expr(f"struct({', '.join('seq.' + n for n in outer)}, {part})"))
+
+
+# window clauses: rows of a key inside one chunk, and boundary rows of the whole key
+IN_CHUNK = "PARTITION BY host, pid, chunk ORDER BY seq"
+IN_KEY = "PARTITION BY host, pid ORDER BY seq"
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
 def following(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .chunks import CHUNK_BITS, KEY, chunk_of, in_chunk, in_key
+from .chunks import CHUNK_BITS, IN_CHUNK, KEY, add_chunk
 from .sessions import with_details
 
 
-def _same(a: Column, b: Column) -> Column:
-    return (a["user"] == b["user"]) & (a["source_ip"] == b["source_ip"])
+def _same(a: str, b: str) -> str:
+    return f"coalesce({a}.user = {b}.user AND {a}.source_ip = {b}.source_ip, false)"
 
 
 def _carry(tails: DataFrame) -> DataFrame:
@@ -19,25 +19,24 @@ def _carry(tails: DataFrame) -> DataFrame:
     goes on into a chunk if the chunk starts with the last row's values; chunks that
     are one run through and through pass their own entering length on.
     """
-    order = in_key("chunk")
-    prev = F.lag(F.struct("row", "run", "whole")).over(order)
-    rows = tails.select(
-        *KEY, "chunk", "row", "head",
-        F.col("run_start").isNull().alias("whole"),
-        F.coalesce(F.col("first_break") - 1, F.col("pos")).alias("head_run"),
-        (F.col("pos") - F.coalesce("run_start", F.lit(1)) + 1).alias("run"),
-    ).withColumn("prev", prev)
-    joined = F.coalesce(_same(F.col("prev.row"), F.col("head")), F.lit(False))
-    passes = joined & F.col("prev.whole")
-    rows = rows.withColumns(
-        {
-            "passes": passes,
-            "added": F.when(joined, F.col("prev.run")).otherwise(0),
-            "next_head": F.lead("head").over(order),
-        }
-    ).withColumn("total", F.sum("added").over(order))
-    base = F.max(F.when(~F.col("passes"), F.col("total") - F.col("added"))).over(order)
-    return rows.select(*KEY, "chunk", (F.col("total") - base).alias("carry"), "next_head", "row")
+    order = "PARTITION BY host, pid ORDER BY chunk"
+    rows = tails.selectExpr(
+        *KEY, "chunk", "row", "head", "run_start IS NULL AS one_run",
+        "pos - coalesce(run_start, 1) + 1 AS run",
+    ).selectExpr(
+        "*",
+        f"lag(struct(row, run, one_run)) OVER ({order}) AS prev",
+        f"lead(head) OVER ({order}) AS next_head",
+    )
+    rows = rows.selectExpr(
+        *KEY, "chunk", "next_head",
+        f"if({_same('prev.row', 'head')}, prev.run, 0) AS added",
+        f"{_same('prev.row', 'head')} AND prev.one_run AS passes",
+    ).selectExpr("*", f"sum(added) OVER ({order}) AS total")
+    return rows.selectExpr(
+        *KEY, "chunk", "next_head",
+        f"total - max(if(passes, NULL, total - added)) OVER ({order}) AS carry",
+    )
 
 
 def invalid_user_runs(events: DataFrame, chunk_bits: int = CHUNK_BITS, carried: DataFrame | None = None) -> DataFrame:
@@ -46,51 +45,42 @@ def invalid_user_runs(events: DataFrame, chunk_bits: int = CHUNK_BITS, carried:
     A run is a series of reports of one process id with the same user and address
     and no other report between them.  Each odd one counts, each even one repeats
     the report before it; ``next`` is the following report of the process id.
+    ``carried`` are reports earlier batches held back.
     """
-    kind = F.col("kind")
-    rows = events.filter(
-        (kind == "invalid_user") | ((kind == "failed_password") & F.col("invalid_user"))
-    )
-    fields = [c for c in ("user", "source_ip", "kind", "port", "ts", "source_hostname", "source_display") if c in rows.columns]
-    rows = rows.select(*KEY, "seq", F.struct(*fields).alias("row"))
+    rows = events.filter("kind = 'invalid_user' OR (kind = 'failed_password' AND invalid_user)")
+    fields = ["user", "source_ip", "kind", "port", "ts"]
+    if "source_display" in events.columns:
+        fields += ["source_hostname", "source_display"]
+    rows = rows.selectExpr(*KEY, "seq", f"struct({', '.join(fields)}) AS row")
     if carried is not None:
         rows = rows.unionByName(carried.select(rows.columns))
-    rows = rows.withColumn("chunk", chunk_of(rows, bits=chunk_bits))
 
-    near = in_chunk()
-    before = F.lag("row").over(near)
-    rows = rows.withColumns(
-        {
-            "pos": F.row_number().over(near),
-            "break": before.isNotNull() & ~_same(before, F.col("row")),
-            "next": F.lead("row").over(near),
-            "head": F.first("row").over(near),
-        }
-    )
-    broken = F.when(F.col("break"), F.col("pos"))
-    rows = rows.withColumns(
-        {"run_start": F.max(broken).over(near), "first_break": F.min(broken).over(near)}
+    rows = add_chunk(rows, chunk_bits).selectExpr(
+        "*",
+        f"row_number() OVER ({IN_CHUNK}) AS pos",
+        f"lag(row) OVER ({IN_CHUNK}) AS prev",
+        f"lead(row) OVER ({IN_CHUNK}) AS next",
+        f"first(row) OVER ({IN_CHUNK}) AS head",
     )
-    carry = _carry(rows.filter(F.col("next").isNull()))
-    # most chunks start and end inside the log unaffected by their neighbours
-    carry = carry.filter((F.col("carry") % 2 == 1) | F.col("next_head").isNotNull()).select(
-        *KEY, "chunk", "carry", "next_head"
+    rows = rows.selectExpr(
+        *KEY, "chunk", "seq", "row", "pos", "next", "head",
+        f"if(prev IS NULL OR {_same('prev', 'row')}, NULL, pos) AS break",
     )
-    rows = rows.join(carry, [*KEY, "chunk"], "left")
-    entering = F.when(F.col("run_start").isNull(), F.coalesce("carry", F.lit(0))).otherwise(0)
-    return rows.select(
-        *KEY, "seq", "row", F.coalesce("next", "next_head").alias("next"),
-        (F.col("pos") - F.coalesce("run_start", F.lit(1)) + 1 + entering).alias("run_pos"),
+    rows = rows.selectExpr("*", f"max(break) OVER ({IN_CHUNK}) AS run_start")
+    carry = _carry(rows.filter("next IS NULL"))
+    # most chunks are not affected by their neighbours
+    carry = carry.filter("carry % 2 = 1 OR next_head IS NOT NULL")
+    return rows.join(carry, [*KEY, "chunk"], "left").selectExpr(
+        *KEY, "seq", "row", "coalesce(next, next_head) AS next",
+        "pos - coalesce(run_start, 1) + 1 + if(run_start IS NULL, coalesce(carry, 0), 0) AS run_pos",
     )
 
 
 def counted_invalid_users(runs: DataFrame) -> DataFrame:
     """The reports that count; an empty port is filled from the repeated report."""
-    row, after = F.col("row"), F.col("next")
-    repeated = _same(row, after) & (after["kind"] == "failed_password")
-    port = F.when((row["port"] == "") & F.coalesce(repeated, F.lit(False)), after["port"])
-    return runs.filter(F.col("run_pos") % 2 == 1).select(
-        *KEY, "seq", "row.*", F.coalesce(port, row["port"]).alias("full_port")
+    repeated = f"row.port = '' AND next.kind = 'failed_password' AND {_same('row', 'next')}"
+    return runs.filter("run_pos % 2 = 1").selectExpr(
+        *KEY, "seq", "row.*", f"if({repeated}, next.port, row.port) AS full_port"
     )
 
 
@@ -98,32 +88,27 @@ def invalid_users(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     return counted_invalid_users(invalid_user_runs(events, chunk_bits))
 
 
-def _attempt(df: DataFrame, kind: str | None, port: str, invalid: Column) -> DataFrame:
-    return with_details(df).select(
-        F.col("ts").alias("timestamp"), "user", "source_ip", "source_hostname", "source_display",
-        F.col(port).alias("port"), F.lit(kind).alias("type"), invalid.alias("invalid_user"), "seq",
-    )
+_ATTEMPT = (
+    "ts AS timestamp", "user", "source_ip", "source_hostname", "source_display",
+    "port", "type", "invalid_user", "seq",
+)
 
 
 def other_failures(events: DataFrame) -> DataFrame:
     """Failures that never repeat each other: known users, and exceeded attempts."""
-    kind, invalid = F.col("kind"), F.col("invalid_user")
-    rows = events.filter(
-        ((kind == "failed_password") & ~invalid) | (kind == "max_auth")
-    ).withColumns(
+    rows = events.filter("kind = 'max_auth' OR (kind = 'failed_password' AND NOT invalid_user)")
+    rows = rows.withColumns(
         {
-            "type": F.when(kind == "max_auth", "max_auth_exceeded").otherwise("failed_password"),
-            "port": F.when(kind == "max_auth", "").otherwise(F.col("port")),
+            "type": F.expr("if(kind = 'max_auth', 'max_auth_exceeded', 'failed_password')"),
+            "port": F.expr("if(kind = 'max_auth', '', port)"),
         }
     )
-    return with_details(rows).select(
-        F.col("ts").alias("timestamp"), "user", "source_ip", "source_hostname", "source_display",
-        "port", "type", "invalid_user", "seq",
-    )
+    return with_details(rows).selectExpr(*_ATTEMPT)
 
 
 def attempts_of(invalid: DataFrame) -> DataFrame:
-    return _attempt(invalid, "invalid_user", "full_port", F.lit(True))
+    rows = with_details(invalid).drop("port").withColumnRenamed("full_port", "port")
+    return rows.withColumns({"type": F.lit("invalid_user"), "invalid_user": F.lit(True)}).selectExpr(*_ATTEMPT)
 
 
 def failed_attempts(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:

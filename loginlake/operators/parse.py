@@ -48,7 +48,8 @@ def parse_auth_events(
     ``host_col`` names a column with the machine; without it the header tells.
     """
     rows = lines.filter(F.expr("contains(value, 'sshd[')"))
-    rows = rows.withColumn("kind", F.expr(event_kind("value"))).filter("kind IS NOT NULL")
+    # explode keeps later filters on the kind from repeating the pattern search
+    rows = rows.select("*", F.expr(f"explode(array({event_kind('value')})) AS kind")).filter("kind IS NOT NULL")
     host = F.col(host_col) if host_col else header_host("value", "_header")
     rows = rows.withColumns({"_fields": F.expr(_captured("value")), "_header": header_fields("value")})
     rows = add_syslog_timestamp(rows.withColumn("_host", host), "_header", as_of, leap_day)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.sources import add_source_details, or_else
+from ..functions.sources import add_source_details
 from ..functions.timestamps import as_of_column
-from .chunks import CHUNK_BITS, KEY, chunk_of, earlier, in_chunk, in_key, whole
+from .chunks import CHUNK_BITS, EARLIER, IN_CHUNK, IN_KEY, KEY, WHOLE, add_chunk
 
 ACCEPTED, OPENED, CLOSED = "accepted", "session_opened", "session_closed"
 _ACCEPT_FIELDS = ("source_ip", "source_hostname", "source_display", "auth_method", "port")
@@ -17,50 +17,38 @@ def with_details(df: DataFrame) -> DataFrame:
     return df if "source_display" in df.columns else add_source_details(df, "source_ip")
 
 
-def _attach(rows: DataFrame, window) -> DataFrame:
+_AUTH = f"kind IN ('{ACCEPTED}', '{OPENED}')"
+_SESSION = f"kind IN ('{OPENED}', '{CLOSED}')"
+
+
+def _attach(rows: DataFrame, window: str) -> DataFrame:
     """Settles, as far as the window's rows allow, what each open and close belongs to.
 
     ``login`` of an open is the accept right before it (each accept serves one
     open), ``open`` of a close is the open right before it.  ``settled`` tells
-    whether the needed earlier row lies inside the window's partition.
+    whether the needed earlier row lies inside the window's partition.  ``last_auth``
+    and ``is_last`` mark the partition's last accept or open, and open or close.
     """
-    kind = F.col("kind")
-    before = earlier(window)
-
-    def last_of(kinds: tuple, value: Column) -> Column:
-        return F.last(F.when(kind.isin(*kinds), value), ignorenulls=True).over(before)
-
-    rows = rows.withColumn("_auth", last_of((ACCEPTED, OPENED), F.struct("kind", "login")))
-    rows = rows.withColumns(
-        {
-            "login": F.when(
-                (kind == OPENED) & ~F.col("settled"),
-                F.when(F.col("_auth.kind") == ACCEPTED, F.col("_auth.login")),
-            ).otherwise(F.col("login")),
-            "settled": F.col("settled")
-            | (kind == ACCEPTED)
-            | ((kind == OPENED) & F.col("_auth").isNotNull()),
-        }
+    rows = rows.selectExpr(
+        "*",
+        f"last(if({_AUTH}, struct(kind, login), NULL), true) OVER ({window} {EARLIER}) AS _auth",
+        f"{_AUTH} AND seq = max(if({_AUTH}, seq, NULL)) OVER ({window} {WHOLE}) AS last_auth",
+        f"{_SESSION} AND seq = max(if({_SESSION}, seq, NULL)) OVER ({window} {WHOLE}) AS is_last",
     )
-    state = F.struct(
-        "kind", "user", "login", "ts", "seq", (F.col("settled") | (kind == CLOSED)).alias("settled")
+    rows = rows.selectExpr(
+        *KEY, "chunk", "seq", "kind", "user", "ts", "open", "last_auth", "is_last", "wanted",
+        f"if(kind = '{OPENED}' AND NOT settled, if(_auth.kind = '{ACCEPTED}', _auth.login, NULL), login) AS login",
+        f"settled OR kind = '{ACCEPTED}' OR (kind = '{OPENED}' AND _auth IS NOT NULL) AS settled",
+    )
+    state = f"struct(kind, user, login, ts, seq, settled OR kind = '{CLOSED}' AS settled)"
+    rows = rows.selectExpr(
+        "*", f"last(if({_SESSION}, {state}, NULL), true) OVER ({window} {EARLIER}) AS _open"
+    )
+    return rows.selectExpr(
+        *KEY, "chunk", "seq", "kind", "user", "ts", "login", "last_auth", "is_last", "wanted",
+        f"if(kind = '{CLOSED}' AND NOT settled, _open, open) AS open",
+        f"settled OR (kind = '{CLOSED}' AND coalesce(_open.settled, false)) AS settled",
     )
-    rows = rows.withColumn("_open", last_of((OPENED, CLOSED), state))
-    return rows.withColumns(
-        {
-            "open": F.when((kind == CLOSED) & ~F.col("settled"), F.col("_open")).otherwise(F.col("open")),
-            "settled": F.col("settled")
-            | ((kind == CLOSED) & F.coalesce(F.col("_open.settled"), F.lit(False))),
-        }
-    ).drop("_auth", "_open")
-
-
-def _is_last(kinds: tuple, window) -> Column:
-    position = F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))).over(whole(window))
-    return F.col("kind").isin(*kinds) & (F.col("seq") == position)
-
-
-_STATE = "struct<kind:string,user:string,login:{login},ts:timestamp_ntz,seq:{seq},settled:boolean>"
 
 
 def correlate(
@@ -74,59 +62,38 @@ def correlate(
     the ``pending_rows`` of earlier batches.
     """
     rows = events.filter(F.col("kind").isin(*kinds))
-    fields = [f for f in _ACCEPT_FIELDS if f in rows.columns]
-    login = F.struct(*[F.col(f) for f in fields])
-    rows = rows.select(
-        *KEY, "seq", "kind", "user", "ts", F.when(F.col("kind") == ACCEPTED, login).alias("login"),
-    )
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    state = _STATE.format(login=types["login"], seq=types["seq"])
-    rows = rows.withColumns({"open": F.lit(None).cast(state), "settled": F.lit(False)})
+    login = f"struct({', '.join(f for f in _ACCEPT_FIELDS if f in events.columns)})"
+    rows = rows.selectExpr(*KEY, "seq", "kind", "user", "ts", f"if(kind = '{ACCEPTED}', {login}, NULL) AS login")
+    empty = "if(false, struct(kind, user, login, ts, seq, false AS settled), NULL) AS open"
+    rows = rows.selectExpr("*", empty, "false AS settled")
     if carried is not None:
         rows = rows.unionByName(carried.select(rows.columns))
-    rows = rows.withColumn("chunk", chunk_of(rows, bits=chunk_bits))
-
-    near = in_chunk()
-    rows = _attach(rows, near).withColumns(
-        {
-            "last_auth": _is_last((ACCEPTED, OPENED), near),
-            "is_last": _is_last((OPENED, CLOSED), near),
-        }
-    )
-    inner = rows.filter((F.col("kind") != ACCEPTED) & F.col("settled") & ~F.col("is_last"))
+
+    rows = _attach(add_chunk(rows, chunk_bits).withColumn("wanted", F.lit(False)), IN_CHUNK)
+    done = f"kind <> '{ACCEPTED}' AND settled AND NOT is_last"
+    columns = [*KEY, "seq", "kind", "user", "ts", "login", "open", "is_last"]
+    inner = rows.filter(done).select(*columns)
     # what reaches beyond its chunk, and the rows such rows may refer to
-    edge = rows.filter(~F.col("settled") | F.col("last_auth") | F.col("is_last"))
-    edge = edge.withColumn("wanted", (F.col("kind") == ACCEPTED) | ~F.col("settled") | F.col("is_last"))
-    edge = _attach(edge, in_key()).withColumns(
-        {
-            "is_last": _is_last((OPENED, CLOSED), in_key()),
-            "last_auth": _is_last((ACCEPTED, OPENED), in_key()),
-        }
-    )
-    edge = edge.withColumn(
-        "is_last", F.when(F.col("kind") == ACCEPTED, F.col("last_auth")).otherwise(F.col("is_last"))
-    )
-    edge = edge.filter((F.col("kind") != ACCEPTED) & F.col("wanted") | (F.col("kind") == ACCEPTED) & F.col("is_last"))
-    edge = edge.select(inner.columns)
-    return inner.unionByName(edge).drop("chunk", "last_auth", "settled")
+    edge = rows.filter("NOT settled OR last_auth OR is_last").withColumn("wanted", ~F.expr(done))
+    edge = _attach(edge.drop("last_auth", "is_last"), IN_KEY)
+    edge = edge.withColumn("is_last", F.expr(f"if(kind = '{ACCEPTED}', last_auth, is_last)"))
+    edge = edge.filter(f"wanted AND (kind <> '{ACCEPTED}' OR is_last)").select(*columns)
+    return inner.union(edge)
 
 
 def pending_rows(correlated: DataFrame) -> DataFrame:
     """What a later batch may still need: unused accepts and open sessions."""
-    rows = correlated.filter(F.col("is_last") & (F.col("kind") != CLOSED))
-    return rows.select(
-        *KEY, "seq", "kind", "user", "ts", "login", "open", (F.col("kind") == OPENED).alias("settled")
+    return correlated.filter(f"is_last AND kind <> '{CLOSED}'").selectExpr(
+        *KEY, "seq", "kind", "user", "ts", "login", "open", f"kind = '{OPENED}' AS settled"
     )
 
 
 def _login_fields(rows: DataFrame, login: str) -> DataFrame:
     """Adds the accept's details in the struct column ``login``, '' where there was none."""
-    names = [f.name for f in rows.select(F.col(login).alias("x")).schema["x"].dataType]
-    rows = rows.withColumns({n: F.coalesce(F.col(login)[n], F.lit("")) for n in names})
-    rows = with_details(rows)
-    return rows.withColumn(
-        "source_display", or_else(F.col("source_display"), F.col("source_ip"), F.col("source_hostname"))
-    )
+    names = rows.select(f"{login}.*").columns
+    rows = with_details(rows.selectExpr("*", *[f"coalesce({login}.{n}, '') AS {n}" for n in names]))
+    shown = "coalesce(nullif(source_display, ''), nullif(source_ip, ''), source_hostname)"
+    return rows.withColumn("source_display", F.expr(shown))
 
 
 _DETAILS = ("source_ip", "source_hostname", "source_display", "auth_method", "port")

@@ -30,9 +30,12 @@ END"""
 
 def parse_who(lines: DataFrame) -> DataFrame:
     """(snapshot_id, line_no, user, tty, login_time, source) of the usable lines."""
-    tokens = r"split(regexp_replace(value, r'(?U)^\s+|\s+$', ''), r'(?U)\s+') AS tokens"
-    rows = lines.selectExpr("snapshot_id", "line_no", tokens).filter("size(tokens) >= 4")
-    rows = rows.withColumn("start", F.expr(_SOURCE_START).cast("int"))
+    # explode of one value: filters and projections further up do not split the line again
+    tokens = r"split(regexp_replace(value, r'(?U)^\s+|\s+$', ''), r'(?U)\s+')"
+    rows = lines.selectExpr("snapshot_id", "line_no", f"explode(array({tokens})) AS tokens")
+    rows = rows.filter("size(tokens) >= 4").selectExpr(
+        "*", f"explode(array(CAST({_SOURCE_START} AS int))) AS start"
+    )
     inside = "array_join(slice(tokens, start, size(tokens)), ' ')"
     return rows.selectExpr(
         "snapshot_id",
