@@ -15,9 +15,9 @@ _HEADER = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+)\s"
 _ISO_HEADER = r"^\d{4}-\d{2}-\d{2}T\S+\s+(\S+)\s"
 
 
-def header_fields(line: str) -> Column:
-    """[month, day, time, host] of a syslog header, or [''] without one."""
-    return F.expr(rf"split(regexp_extract({line}, r'{_HEADER}', 1), r'\s+', 4)")
+def header_fields(line: str) -> str:
+    """SQL: [month, day, time, host] of a syslog header, or [''] without one."""
+    return rf"split(regexp_extract({line}, r'{_HEADER}', 1), r'\s+', 4)"
 
 
 def header_host(line: str, header: str) -> Column:

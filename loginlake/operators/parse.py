@@ -48,10 +48,11 @@ def parse_auth_events(
     ``host_col`` names a column with the machine; without it the header tells.
     """
     rows = lines.filter(F.expr("contains(value, 'sshd[')"))
-    # explode keeps later filters on the kind from repeating the pattern search
-    rows = rows.select("*", F.expr(f"explode(array({event_kind('value')})) AS kind")).filter("kind IS NOT NULL")
+    # explode of one value: later filters on kind or date do not repeat the pattern search
+    rows = rows.selectExpr("*", f"explode(array({event_kind('value')})) AS kind").filter("kind IS NOT NULL")
+    rows = rows.selectExpr("*", f"explode(array({header_fields('value')})) AS _header")
     host = F.col(host_col) if host_col else header_host("value", "_header")
-    rows = rows.withColumns({"_fields": F.expr(_captured("value")), "_header": header_fields("value")})
+    rows = rows.withColumn("_fields", F.expr(_captured("value")))
     rows = add_syslog_timestamp(rows.withColumn("_host", host), "_header", as_of, leap_day)
 
     def text(name: str) -> str:
