@@ -30,6 +30,7 @@ def add_chunk(df: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
 IN_CHUNK = "PARTITION BY host, pid, chunk ORDER BY seq"
 IN_KEY = "PARTITION BY host, pid ORDER BY seq"
 EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 

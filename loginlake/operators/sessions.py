@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sources import add_source_details
 from ..functions.timestamps import as_of_column
-from .chunks import CHUNK_BITS, EARLIER, IN_CHUNK, IN_KEY, KEY, WHOLE, add_chunk
+from .chunks import CHUNK_BITS, EARLIER, IN_CHUNK, IN_KEY, KEY, UP_TO, WHOLE, add_chunk
 
 ACCEPTED, OPENED, CLOSED = "accepted", "session_opened", "session_closed"
 _ACCEPT_FIELDS = ("source_ip", "source_hostname", "source_display", "auth_method", "port")
@@ -29,23 +29,28 @@ def _attach(rows: DataFrame, window: str) -> DataFrame:
     whether the needed earlier row lies inside the window's partition.  ``last_auth``
     and ``is_last`` mark the partition's last accept or open, and open or close.
     """
+    def is_last(condition: str) -> str:
+        counted = f"count_if({condition}) OVER ({window}"
+        return f"{condition} AND {counted} {UP_TO}) = {counted} {WHOLE})"
+
     rows = rows.selectExpr(
         "*",
-        f"last(if({_AUTH}, struct(kind, login), NULL), true) OVER ({window} {EARLIER}) AS _auth",
-        f"{_AUTH} AND seq = max(if({_AUTH}, seq, NULL)) OVER ({window} {WHOLE}) AS last_auth",
-        f"{_SESSION} AND seq = max(if({_SESSION}, seq, NULL)) OVER ({window} {WHOLE}) AS is_last",
+        f"last(auth, true) OVER ({window} {EARLIER}) AS _auth",
+        f"{is_last(_AUTH)} AS last_auth",
+        f"{is_last(_SESSION)} AS is_last",
     )
     rows = rows.selectExpr(
         *KEY, "chunk", "seq", "kind", "user", "ts", "open", "last_auth", "is_last", "wanted",
-        f"if(kind = '{OPENED}' AND NOT settled, if(_auth.kind = '{ACCEPTED}', _auth.login, NULL), login) AS login",
+        f"""if(kind = '{OPENED}' AND NOT settled,
+            struct(kind, if(_auth.kind = '{ACCEPTED}', _auth.login, NULL) AS login), auth) AS auth""",
         f"settled OR kind = '{ACCEPTED}' OR (kind = '{OPENED}' AND _auth IS NOT NULL) AS settled",
     )
-    state = f"struct(kind, user, login, ts, seq, settled OR kind = '{CLOSED}' AS settled)"
+    state = f"struct(kind, user, auth.login AS login, ts, seq, settled OR kind = '{CLOSED}' AS settled)"
     rows = rows.selectExpr(
         "*", f"last(if({_SESSION}, {state}, NULL), true) OVER ({window} {EARLIER}) AS _open"
     )
     return rows.selectExpr(
-        *KEY, "chunk", "seq", "kind", "user", "ts", "login", "last_auth", "is_last", "wanted",
+        *KEY, "chunk", "seq", "kind", "user", "ts", "auth", "last_auth", "is_last", "wanted",
         f"if(kind = '{CLOSED}' AND NOT settled, _open, open) AS open",
         f"settled OR (kind = '{CLOSED}' AND coalesce(_open.settled, false)) AS settled",
     )
@@ -63,28 +68,32 @@ def correlate(
     """
     rows = events.filter(F.col("kind").isin(*kinds))
     login = f"struct({', '.join(f for f in _ACCEPT_FIELDS if f in events.columns)})"
-    rows = rows.selectExpr(*KEY, "seq", "kind", "user", "ts", f"if(kind = '{ACCEPTED}', {login}, NULL) AS login")
-    empty = "if(false, struct(kind, user, login, ts, seq, false AS settled), NULL) AS open"
+    rows = rows.selectExpr(
+        *KEY, "seq", "kind", "user", "ts",
+        f"if({_AUTH}, struct(kind, if(kind = '{ACCEPTED}', {login}, NULL) AS login), NULL) AS auth",
+    )
+    empty = "if(false, struct(kind, user, auth.login AS login, ts, seq, false AS settled), NULL) AS open"
     rows = rows.selectExpr("*", empty, "false AS settled")
     if carried is not None:
         rows = rows.unionByName(carried.select(rows.columns))
 
     rows = _attach(add_chunk(rows, chunk_bits).withColumn("wanted", F.lit(False)), IN_CHUNK)
-    done = f"kind <> '{ACCEPTED}' AND settled AND NOT is_last"
-    columns = [*KEY, "seq", "kind", "user", "ts", "login", "open", "is_last"]
+    done = f"kind <> '{ACCEPTED}' AND settled AND NOT is_last AND NOT last_auth"
+    columns = [*KEY, "seq", "kind", "user", "ts", "auth", "open", "is_last"]
+    # both parts read the same columns of the same shuffle, which is made once
     inner = rows.filter(done).select(*columns)
     # what reaches beyond its chunk, and the rows such rows may refer to
     edge = rows.filter("NOT settled OR last_auth OR is_last").withColumn("wanted", ~F.expr(done))
     edge = _attach(edge.drop("last_auth", "is_last"), IN_KEY)
     edge = edge.withColumn("is_last", F.expr(f"if(kind = '{ACCEPTED}', last_auth, is_last)"))
     edge = edge.filter(f"wanted AND (kind <> '{ACCEPTED}' OR is_last)").select(*columns)
-    return inner.union(edge)
+    return inner.union(edge).withColumn("login", F.col("auth.login"))
 
 
 def pending_rows(correlated: DataFrame) -> DataFrame:
     """What a later batch may still need: unused accepts and open sessions."""
     return correlated.filter(f"is_last AND kind <> '{CLOSED}'").selectExpr(
-        *KEY, "seq", "kind", "user", "ts", "login", "open", f"kind = '{OPENED}' AS settled"
+        *KEY, "seq", "kind", "user", "ts", "auth", "open", f"kind = '{OPENED}' AS settled"
     )
 
 
