@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 KEY = ("host", "pid")
+# never NULL, so that joins on the key add no filter and can share its shuffle
+KEY_VALUES = ("coalesce(host, '') AS host", "coalesce(pid, '') AS pid")
 CHUNK_BITS = 20  # at most 2**20 arrival positions in a chunk
 
 
@@ -19,7 +21,7 @@ def add_chunk(df: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Adds the chunk of a row: its block of 2**bits positions, never across two file blocks."""
     order = df.schema["seq"].dataType
     if not isinstance(order, StructType):
-        return df.withColumn("chunk", F.shiftright("seq", bits))
+        return df.withColumn("chunk", F.expr(f"coalesce(shiftright(seq, {bits}), 0)"))
     *outer, row_id = order.names
     # the low 33 bits of a row id count the rows of one task
     part = f"shiftright(seq.{row_id} & {(1 << 33) - 1}, {bits}) AS part"

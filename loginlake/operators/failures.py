@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import CHUNK_BITS, IN_CHUNK, KEY, add_chunk
+from .chunks import CHUNK_BITS, IN_CHUNK, KEY, KEY_VALUES, add_chunk
 from .sessions import with_details
 
 
@@ -51,7 +51,7 @@ def invalid_user_runs(events: DataFrame, chunk_bits: int = CHUNK_BITS, carried:
     fields = ["user", "source_ip", "kind", "port", "ts"]
     if "source_display" in events.columns:
         fields += ["source_hostname", "source_display"]
-    rows = rows.selectExpr(*KEY, "seq", f"struct({', '.join(fields)}) AS row")
+    rows = rows.selectExpr(*KEY_VALUES, "seq", f"struct({', '.join(fields)}) AS row")
     if carried is not None:
         rows = rows.unionByName(carried.select(rows.columns))
 

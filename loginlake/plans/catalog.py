@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.sources import add_source_details, is_remote
 from ..operators import enrich, failures, labels, metrics, sessions as correlation
 from ..operators.parse import events_of, is_recognised, parse_auth_events
+from ..operators.storage import checkpoint_folder
 from ..sources import derived, logs, who
+from ..streaming.ingest import AuthLogStream
+from ..streaming.snapshots import SnapshotStream
 from . import reports
 
 AS_OF = "2024-02-01"
@@ -30,8 +34,39 @@ class Inputs:
     """Derived inputs and the tables computed from them, built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.table = _table(spark, sf_dir)
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def table(self):
+        return _table(self.spark, self.sf_dir)
+
+    def _stream(self, start) -> int:
+        """Runs a stream over the whole table until it is used up; number of its last batch."""
+        schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
+        # the files of a table arrive together and in no order, so they are one micro-batch;
+        # several batches are for segments, which arrive one after the other
+        # (a pattern, as a stream takes a single file by pattern only)
+        query = start(self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events.parque[t]"))
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+        return query.lastProgress["batchId"]
+
+    def _folder(self) -> str:
+        folder = checkpoint_folder(self.spark)
+        if folder is None:
+            raise RuntimeError("streaming queries need a shared folder in spark.checkpoint.dir")
+        return f"{folder}/stream-{uuid.uuid4().hex}"
+
+    @cached_property
+    def log_stream(self) -> tuple[AuthLogStream, int]:
+        stream = AuthLogStream(self.spark, self._folder(), AS_OF, max_pending=None)
+        return stream, self._stream(lambda table: stream.start(derived.log_lines(table)))
+
+    @cached_property
+    def snapshot_stream(self) -> tuple[SnapshotStream, int]:
+        stream = SnapshotStream(self.spark, self._folder(), known_users=self.users)
+        return stream, self._stream(lambda table: stream.start(derived.who_lines(table)))
 
     @cached_property
     def lines(self):
@@ -188,6 +223,48 @@ _add(
 )
 
 
+@_query("m_logins_full_pinned")
+def _logins_pinned(i: Inputs) -> DataFrame:
+    """Unbounded labels; a source whose name changes keeps the one seen first."""
+    events = enrich.enrich_hosts_ttl(i.events, i.ptr)
+    return metrics.logins(events, displays=labels.pinned_displays(events, AS_OF))
+
+
+def _stream_counters(i: Inputs) -> DataFrame:
+    stream, last = i.log_stream
+    return stream.counters.after(last)
+
+
+def _stream_registry(i: Inputs) -> DataFrame:
+    stream, last = i.log_stream
+    return stream.label_registry(last).rows
+
+
+def _stream_failed(i: Inputs) -> DataFrame:
+    stream, last = i.log_stream
+    return stream.all_attempts(last)
+
+
+def _stream_active(i: Inputs) -> DataFrame:
+    stream, last = i.snapshot_stream
+    return stream.active.after(last)
+
+
+def _stream_online(i: Inputs) -> DataFrame:
+    stream, last = i.snapshot_stream
+    return stream.online.after(last)
+
+
+_add(
+    stream_sessions=lambda i: i.log_stream[0].sessions.read().drop("close_user"),
+    stream_failed=_stream_failed,
+    stream_counters=_stream_counters,
+    stream_registry=_stream_registry,
+    stream_active=_stream_active,
+    stream_online=_stream_online,
+)
+
+
 @_query("metric_samples")
 def _metric_samples(i: Inputs) -> DataFrame:
     """All families; the label map is written as text, as maps do not compare."""

@@ -89,7 +89,7 @@ f AS (
   UNION ALL SELECT seq, ts, u, ip, '', 'max_auth_exceeded', inv FROM a WHERE kind = 'max_auth'
 )"""
 
-_LABELS = """
+_FULL_REGISTRY = """
 sight AS (
   SELECT 'user' AS dimension, u AS value, 2 * seq + 1 AS pos FROM a
     WHERE kind IN ('accepted', 'session_closed', 'max_auth')
@@ -100,12 +100,17 @@ sight AS (
   UNION ALL SELECT 'source_ip', ip, 2 * seq + 1 FROM f
   UNION ALL SELECT 'auth_method', method, 2 * seq + 1 FROM a WHERE kind = 'accepted'
 ),
-reg AS (
+ranked AS (
   SELECT dimension, value, CASE WHEN dimension = 'source_ip' THEN value ELSE '' END AS display, position
   FROM (
     SELECT dimension, value, CAST(row_number() OVER (PARTITION BY dimension ORDER BY min(pos)) AS INT) AS position
     FROM sight GROUP BY dimension, value
   )
+)"""
+
+_LABELS = _FULL_REGISTRY + """,
+reg AS (
+  SELECT * FROM ranked
   WHERE position <= CASE dimension WHEN 'user' THEN 12 WHEN 'source_ip' THEN 10 ELSE 1 END
 )"""
 
@@ -318,6 +323,36 @@ def _samples_sql() -> str:
     return _with("\nUNION ALL ".join(parts), _EVENTS, _SESSIONS, _FAILED, _WHO)
 
 
+def _counters_sql() -> str:
+    def part(metric, source, condition, **labels):
+        columns = ", ".join(
+            f"CAST({labels.get(c, 'NULL')} AS VARCHAR) AS \"{c}\""
+            for c in ("user", "source_ip", "source_display", "auth_method", "error_type")
+        )
+        return f"SELECT '{metric}' AS metric, {columns} FROM {source} WHERE {condition}"
+
+    source = {"source_ip": "ip", "source_display": "ip"}
+    parts = [
+        part("ssh_logins_total", "a", "kind = 'accepted'", user="u", auth_method="method", **source),
+        part("ssh_logouts_total", "a", "kind = 'session_closed'", user="u"),
+        part("ssh_preauth_connection_closed_total", "a", "kind = 'preauth_closed'", **source),
+        part("ssh_errors_total", "a", "kind = 'port_forward_error'", error_type="'port_forward_failed'"),
+        part("ssh_errors_total", "a", "kind = 'max_auth'", error_type="'max_auth_exceeded'"),
+        part("ssh_failed_logins_total", "f", "true", user="u", **source),
+        part("ssh_invalid_user_attempts_total", "f", "inv", user="u", **source),
+    ]
+    return _with(
+        f"SELECT *, count(*) AS value FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL", _EVENTS, _FAILED
+    )
+
+
+_FIRST_DISPLAY = f"""SELECT ip AS value, {_display('name', 'ip')} AS display FROM (SELECT ip, name, seq,
+  min(seq) OVER (PARTITION BY ip) AS first FROM (""" + _TTL.format(
+    rows="SELECT ip, seq, ts FROM a WHERE kind IN ('accepted', 'invalid_user', 'failed_password', 'max_auth',"
+         " 'preauth_closed')"
+) + ")) WHERE seq = first"
+
+
 def oracle_sql() -> dict[str, str]:
     sf, ff = (_EVENTS, _SESSIONS), (_EVENTS, _FAILED)
     counted = 'u AS "user", ip AS source_ip, ip AS source_display'
@@ -391,12 +426,17 @@ def oracle_sql() -> dict[str, str]:
             date_trunc('hour', logout_time) + INTERVAL 1 HOUR AS window_end, sum(secs) / count(*) AS value
             FROM s WHERE secs >= 0 GROUP BY ALL""", *sf),
         "label_registry": _with("SELECT * FROM reg", _EVENTS, _SESSIONS, _FAILED, _LABELS),
-        "label_display": _with(
-            f"SELECT ip AS value, {_display('name', 'ip')} AS display FROM (SELECT ip, name, seq,"
-            " min(seq) OVER (PARTITION BY ip) AS first FROM ("
-            + _TTL.format(rows="SELECT ip, seq, ts FROM a WHERE kind IN ('accepted', 'invalid_user',"
-                               " 'failed_password', 'max_auth', 'preauth_closed')")
-            + ")) WHERE seq = first", _EVENTS, _PTR),
+        "label_display": _with(_FIRST_DISPLAY, _EVENTS, _PTR),
+        "m_logins_full_pinned": _with(
+            f"""SELECT u AS "user", ip AS source_ip, n.display AS source_display, method AS auth_method,
+            count(*) AS value FROM a JOIN ({_FIRST_DISPLAY}) n ON n.value = a.ip WHERE kind = 'accepted' GROUP BY ALL""",
+            _EVENTS, _PTR),
+        "stream_sessions": _with(f"SELECT {_SESSION_COLS} FROM s", *sf),
+        "stream_failed": _with(f"SELECT {_FAILED_COLS} FROM f", *ff),
+        "stream_counters": _counters_sql(),
+        "stream_registry": _with("SELECT * FROM ranked", _EVENTS, _SESSIONS, _FAILED, _FULL_REGISTRY),
+        "stream_active": _with(_GAUGE, _EVENTS, _WHO),
+        "stream_online": _with(_ONLINE, _EVENTS, _WHO),
         "r_active": _with(f"SELECT {_WHO_COLS} FROM now", _EVENTS, _WHO),
         "r_history": _with(f"SELECT {_SESSION_COLS} FROM s ORDER BY close_seq DESC LIMIT 200", *sf),
         "r_failed": _with(f"SELECT {_FAILED_COLS} FROM f ORDER BY seq DESC LIMIT 200", *ff),

@@ -29,7 +29,7 @@ _COUNTER_LABELS = ["user", "source_ip", "source_display", "auth_method", "error_
 
 
 def read_segments(
-    spark: SparkSession, landing: str, pattern: str = "*", max_files: int | None = None, max_bytes: str | None = None
+    spark: SparkSession, landing: str, pattern: str = "*", max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """Stream of lines with the file facts that give their arrival order."""
     reader = spark.readStream.option("pathGlobFilter", pattern).option("latestFirst", False)
@@ -99,9 +99,9 @@ class AuthLogStream:
         now = self.as_of or datetime.now()
         events = self.events.write(parse_auth_events(lines, clock), batch_id)
         finished = self._sessions(events, batch_id, now)
-        failed = self._failures(events, batch_id)
+        new_failures = self._failures(events, batch_id)
         self._registry(events, finished, batch_id, now)
-        self._counters(events, failed, batch_id)
+        self._counters(events, new_failures, batch_id)
 
     def _bounded(self, rows: DataFrame, ts: str, events: DataFrame) -> DataFrame:
         """Pending rows within the limits of number and age."""
@@ -123,8 +123,12 @@ class AuthLogStream:
         return finished
 
     def _failures(self, events: DataFrame, batch_id: int) -> DataFrame:
-        """Writes settled attempts and holds back reports whose repetition may still come."""
-        runs = invalid_user_runs(events, carried=self.held.before(batch_id))
+        """Writes settled attempts and holds back reports whose repetition may still come.
+
+        Returns the attempts that count from this batch on, held back or not.
+        """
+        before = self.held.before(batch_id)
+        runs = invalid_user_runs(events, carried=before)
         waits = F.col("next").isNull() & (F.col("run_pos") % 2 == 1)
         candidates = runs.filter(waits).select("host", "pid", "seq", "row")
         held = self._bounded(candidates.withColumn("ts", F.col("row.ts")), "ts", events).drop("ts")
@@ -133,7 +137,14 @@ class AuthLogStream:
         kept = self.held.after(batch_id).select("host", "pid", "seq", F.lit(True).alias("_held"))
         ready = runs.join(kept, ["host", "pid", "seq"], "left").filter(F.col("_held").isNull())
         attempts = attempts_of(counted_invalid_users(ready)).unionByName(other_failures(events))
-        return self.failed.write(attempts, batch_id)
+        self.failed.write(attempts, batch_id)
+        if before is not None:
+            runs = runs.join(before.select("host", "pid", "seq"), ["host", "pid", "seq"], "left_anti")
+        return attempts_of(counted_invalid_users(runs)).unionByName(other_failures(events))
+
+    def all_attempts(self, batch_id: int) -> DataFrame:
+        """Failed attempts after ``batch_id``, with those still held back."""
+        return self.failed.read().unionByName(self.held_attempts(batch_id))
 
     def held_attempts(self, batch_id: int) -> DataFrame:
         """Attempts still waiting for a repetition after ``batch_id``, as they stand."""

@@ -69,7 +69,7 @@ def test_stream_equals_batch(spark, log, tmp_path):
 
     columns = ("timestamp", "user", "source_ip", "port", "type", "invalid_user")
     failed = failures.failed_attempts(events)
-    got = stream.failed.read().unionByName(stream.held_attempts(last))
+    got = stream.all_attempts(last)
     assert bag(got, *columns) == bag(failed, *columns)
 
     registry = labels.label_registry(events, AS_OF, CAPS).stored()
@@ -81,6 +81,8 @@ def test_stream_equals_batch(spark, log, tmp_path):
         ("ssh_logins_total", metrics.logins(events, registry)),
         ("ssh_logouts_total", metrics.logouts(events, registry)),
         ("ssh_errors_total", metrics.errors(events)),
+        ("ssh_failed_logins_total", metrics.failed_logins(failed, registry)),
+        ("ssh_invalid_user_attempts_total", metrics.invalid_user_attempts(failed, registry)),
     ):
         assert bag(counters.filter(F.col("metric") == metric), *want.columns) == bag(want, *want.columns)
 
