@@ -83,6 +83,8 @@ class AuthLogStream:
         self.events, self.sessions, self.failed = table("events"), table("sessions"), table("failed_attempts")
         self.pending, self.held = state("pending"), state("held")
         self.registry, self.counters = state("registry"), state("counters")
+        # results of the window jobs, which several outputs of a batch are made from
+        self.correlated, self.runs = state("correlated"), state("runs")
 
     def start(self, lines: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         """Runs ``process`` for each micro-batch; by default over all there is, then stops."""
@@ -115,7 +117,8 @@ class AuthLogStream:
         return rows if self.max_pending is None else rows.orderBy(F.col("seq").desc()).limit(self.max_pending)
 
     def _sessions(self, events: DataFrame, batch_id: int, now) -> DataFrame:
-        correlated = correlate(events, carried=self.pending.before(batch_id))
+        self.correlated.write(correlate(events, carried=self.pending.before(batch_id)), batch_id)
+        correlated = self.correlated.after(batch_id)
         finished = self.sessions.write(session_rows(correlated, now), batch_id)
         pending = self._bounded(pending_rows(correlated), "ts", events)
         accepts = self._latest(pending.filter(F.col("kind") == ACCEPTED))
@@ -128,7 +131,8 @@ class AuthLogStream:
         Returns the attempts that count from this batch on, held back or not.
         """
         before = self.held.before(batch_id)
-        runs = invalid_user_runs(events, carried=before)
+        self.runs.write(invalid_user_runs(events, carried=before), batch_id)
+        runs = self.runs.after(batch_id)
         waits = F.col("next").isNull() & (F.col("run_pos") % 2 == 1)
         candidates = runs.filter(waits).select("host", "pid", "seq", "row")
         held = self._bounded(candidates.withColumn("ts", F.col("row.ts")), "ts", events).drop("ts")
