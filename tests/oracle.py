@@ -32,6 +32,13 @@ def rows_of(columns, rows):
     return sorted(columns), sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+# Spark type names next to DuckDB's
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(name: str, df, con, sql: str) -> str:
     """'' if equal, else what differs."""
     got_columns, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -40,10 +47,14 @@ def compare(name: str, df, con, sql: str) -> str:
     want_columns, want = rows_of(columns, result.fetchall())
     if got_columns != want_columns:
         return f"columns {got_columns} != {want_columns}"
+    types = {c: t for c, t, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = {c: (t, types[c]) for c, t in df.dtypes if TYPES.get(t) != types[c]}
+    if wrong:
+        return f"types {wrong}"
     if got != want:
         first = next(((g, w) for g, w in zip(got, want) if g != w), None)
         return f"{len(got)} rows, expected {len(want)}; first difference {first}"
-    return "" if got else "no rows"
+    return ""
 
 
 def main(sf_dir: str, *names: str) -> None:
