@@ -376,3 +376,25 @@ def test_saved_tables_and_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(paths[4]).collect()] == [
         '{"timestamp":null,"user":"ghost","source_ip":"10.0.0.9","source_hostname":"","source_display":"10.0.0.9",'
         '"port":"","type":"invalid_user","invalid_user":true}']
+
+
+def test_declared_layouts(spark):
+    """Jobs give exactly the declared columns and types."""
+    from loginlake import schemas
+
+    def layout(schema):
+        return [(f.name, f.dataType) for f in schema]
+
+    events = events_of(spark, head(OPENED))
+    assert layout(events.schema) == layout(schemas.auth_events())
+    assert layout(sessions.sessions(events, AS_OF).schema) == layout(schemas.sessions())
+    assert layout(failures.failed_attempts(events).schema) == layout(schemas.failed_attempts())
+    lines = spark.createDataFrame([], "snapshot_id string, line_no bigint, value string")
+    assert layout(who.active_sessions(lines).schema) == layout(schemas.ACTIVE_SESSIONS)
+    ptr = spark.createDataFrame([], schemas.PTR)
+    named = enrich.enrich_hosts(sessions.sessions(events, AS_OF), ptr)
+    assert sorted(named.columns) == sorted(schemas.sessions().fieldNames())
+    files = events.withColumn("seq", F.lit(None).cast(schemas.FILE_SEQ))
+    assert layout(sessions.sessions(files, AS_OF).schema) == layout(schemas.sessions(schemas.FILE_SEQ))
+    samples = metrics.metric_samples(events, sessions.sessions(events, AS_OF), failures.failed_attempts(events))
+    assert layout(samples.schema) == layout(schemas.METRIC_SAMPLES)
