@@ -60,7 +60,7 @@ class Inputs:
 
     @cached_property
     def log_stream(self) -> tuple[AuthLogStream, int]:
-        stream = AuthLogStream(self.spark, self._folder(), AS_OF, max_pending=None)
+        stream = AuthLogStream(self.spark, self._folder(), AS_OF)
         return stream, self._stream(lambda table: stream.start(derived.log_lines(table)))
 
     @cached_property

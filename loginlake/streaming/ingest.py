@@ -21,7 +21,7 @@ from ..operators.failures import (
 from ..operators.labels import LabelRegistry
 from ..operators.parse import parse_auth_events
 from ..operators.sessions import ACCEPTED, correlate, pending_rows, session_rows
-from ..schemas import LABEL_CAPS, PENDING_LIMIT
+from ..schemas import LABEL_CAPS
 from .state import BatchTable, CarriedState
 
 _REGISTRY = "dimension string, value string, display string, position int"
@@ -62,15 +62,16 @@ class AuthLogStream:
     """Continuous events, sessions, failed attempts, counters and label registry.
 
     ``as_of`` fixes the clock; by default a segment's own date settles its years.
-    ``max_pending`` bounds the unused accepts and held reports kept between
-    batches, the oldest going first; ``max_age`` drops what is older than that.
+    ``max_pending`` (say ``schemas.PENDING_LIMIT``) bounds the unused accepts and held
+    reports kept between batches, the oldest going first; ``max_age`` lets go of what
+    is older than that.  A held report that goes is written, not lost.
     """
 
     spark: SparkSession
     base: str
     as_of: object = None
     caps: dict = field(default_factory=lambda: dict(LABEL_CAPS))
-    max_pending: int | None = PENDING_LIMIT
+    max_pending: int | None = None
     max_age: str | None = None
 
     def __post_init__(self):

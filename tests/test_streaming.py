@@ -41,7 +41,7 @@ def test_stream_equals_batch(spark, log, tmp_path):
     cuts = [0, 301, 302, 640, len(log)]
     for n in range(2):
         place(landing, f"seg-{n}", log[cuts[n]:cuts[n + 1]], n)
-    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF, caps=CAPS, max_pending=None)
+    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF, caps=CAPS)
 
     def run():
         query = stream.start(read_segments(spark, str(landing), max_files=1))
