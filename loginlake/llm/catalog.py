@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import language_id, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_language_id": language_id.op7_language_id,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
