@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, simhash
+from . import bpe, language_id, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_bpe": bpe.op5_bpe,
         "op7_language_id": language_id.op7_language_id,
         "op8_simhash": simhash.op8_simhash,
+        "op9_secret_scan": secrets.op9_secret_scan,
     }
 
 

@@ -64,7 +64,10 @@ def map_batches(
         for batch in batches:
             for columns in apply(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, type=f.type, from_pandas=False) for v, f in zip(columns.values(), arrow, strict=True)],
+                    [
+                        v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, type=f.type)
+                        for v, f in zip(columns.values(), arrow, strict=True)
+                    ],
                     schema=arrow,
                 )
 
