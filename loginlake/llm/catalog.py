@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, secrets, simhash
+from . import bpe, decontaminate, language_id, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7_language_id,
         "op8_simhash": simhash.op8_simhash,
         "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
