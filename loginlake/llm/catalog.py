@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, secrets, simhash, suffix_dedup
+from . import bpe, decontaminate, language_id, quality, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_bpe": bpe.op5_bpe,
+        "op6_quality": quality.op6_quality,
         "op7_language_id": language_id.op7_language_id,
         "op8_simhash": simhash.op8_simhash,
         "op9_secret_scan": secrets.op9_secret_scan,
