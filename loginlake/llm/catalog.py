@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, quality, secrets, simhash, suffix_dedup
+from . import bpe, decontaminate, language_id, quality, secrets, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op6_quality": quality.op6_quality,
