@@ -174,7 +174,7 @@ def terms_of(text: str) -> set[tuple[str, bool]]:
     return {(w, True) for w in words} | {(w[:k], False) for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
+def learn_lexicon(labelled: DataFrame, store: Store) -> list[tuple[str, bool, float]]:
     """Terms of labelled (body: compressed text, label 0 or 1) whose counts differ beyond chance."""
     totals = labelled.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     with_label, without = (int(x or 0) for x in totals)
@@ -201,8 +201,8 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
         return apply
 
     counted = map_batches(labelled, make, "term string, whole boolean, a bigint, b bigint")
-    # a term that is in no document with the label is counted as tried by those that are
     terms = counted.groupBy("term", "whole").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0")
+    terms = store.save(terms, "terms")
     share = with_label / (with_label + without)
 
     def part(seen: Column, expected: Column) -> Column:
@@ -216,7 +216,7 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
         + part(without - F.col("b"), (all_docs - n) * (1 - share))
     )
     odds = F.log(((F.col("a") + 0.5) / (with_label + 1)) / ((F.col("b") + 0.5) / (without + 1)))
-    chance = 2 * np.log(1e8)  # a hundred million terms tried, one by chance
+    chance = 2 * np.log(max(2, terms.count()))  # of so many terms one at most gets there by chance
     rows = (
         terms.withColumn("strength", strength)
         .withColumn("odds", odds)
@@ -267,7 +267,7 @@ def score(docs: DataFrame, labelled_ids: DataFrame, id_column: str = "doc_id", t
         return apply
 
     bodies = map_batches(slim.where("id IS NOT NULL"), compress, f"id {kind}, body binary")
-    terms = learn_lexicon(bodies.join(labelled_ids, "id").select("body", F.col("label").cast("int").alias("label")))
+    terms = learn_lexicon(bodies.join(labelled_ids, "id").select("body", F.col("label").cast("int").alias("label")), store)
     shared = spark.sparkContext.broadcast(terms)
 
     def make() -> Callable[[pa.RecordBatch], Iterable[dict]]:
