@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, quality, secrets, simhash, suffix_dedup, toxicity
+from . import (
+    bpe,
+    decontaminate,
+    language_id,
+    line_dedup,
+    pseudonyms,
+    quality,
+    secrets,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_pseudonyms": pseudonyms.op3_pseudonyms,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op6_quality": quality.op6_quality,
@@ -23,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.OP2_SQL}
