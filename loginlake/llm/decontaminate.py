@@ -185,10 +185,15 @@ def _shards(items: DataFrame, id_column: str, text: str) -> list[DataFrame]:
 
 
 def add_matches(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    name: str = "matches",
 ) -> DataFrame:
-    """docs with the column matches: the items found in each document."""
-    kept = [c for c in docs.columns if c != "matches"]
+    """docs with one more column (replacing one of its name): the items found in each document."""
+    kept = [c for c in docs.columns if c != name]
     one = (
         StructType()
         .add("item_id", items.schema[item_id].dataType)
@@ -198,7 +203,7 @@ def add_matches(
         .add("first_word", LongType())
         .add("end_word", LongType())
     )
-    out, schema = docs.select(*kept), docs.select(*kept).schema.add("matches", ArrayType(one))
+    out, schema = docs.select(*kept), docs.select(*kept).schema.add(name, ArrayType(one))
     for number, shard in enumerate(_shards(items, item_id, item_text)):
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in shard.collect()])
 
@@ -208,8 +213,8 @@ def add_matches(
             def apply(batch):
                 found = [index.search(x) for x in strings(batch, text)]
                 if number:
-                    found = [a + b for a, b in zip(batch.column("matches").to_pylist(), found, strict=True)]
-                yield {c: batch.column(c) for c in kept} | {"matches": found}
+                    found = [a + b for a, b in zip(batch.column(name).to_pylist(), found, strict=True)]
+                yield {c: batch.column(c) for c in kept} | {name: found}
 
             return apply
 

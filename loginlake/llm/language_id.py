@@ -130,25 +130,36 @@ class Ranks:
         return self.names[best], float(np.clip((second - apart[best]) / second, 0, 1)) if second else 0.0
 
 
-def predict(docs: DataFrame, found: DataFrame, text: str = "text", length: int = PROFILE, top: int = DOCUMENT) -> DataFrame:
-    """Adds lang_pred and score to the columns of docs; the score is the lead of the nearest
-    profile over the next, as a share of the next one's distance."""
+def predict(
+    docs: DataFrame,
+    found: DataFrame,
+    text: str = "text",
+    length: int = PROFILE,
+    top: int = DOCUMENT,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """Adds the predicted language and its score to the columns of docs, replacing columns of
+    these names. The score is the lead of the nearest profile over the next, as a share of the
+    next one's distance."""
     rows = [tuple(r) for r in found.limit(MAX_LANGUAGES * length + 1).collect()]
     if len(rows) > MAX_LANGUAGES * length:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
 
     def make() -> Callable[[pa.RecordBatch], Iterable[dict]]:
         ranks = Ranks(shared.value, length)
 
         def apply(batch):
             out = [ranks.predict(t, top) for t in strings(batch, text)]
-            yield {c: batch.column(c) for c in kept} | {"lang_pred": [x[0] for x in out], "score": [x[1] for x in out]}
+            yield {c: batch.column(c) for c in kept} | {
+                names[0]: [x[0] for x in out],
+                names[1]: [x[1] for x in out],
+            }
 
         return apply
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
     return map_batches(docs.select(*kept), make, schema)
 
 

@@ -109,9 +109,11 @@ def code_points(body: bytes, offsets: list[int]) -> np.ndarray:
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text") -> DataFrame:
-    """Adds spans to the columns of docs."""
-    kept = [c for c in docs.columns if c != "spans"]
+def scan(
+    docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text", name: str = "spans"
+) -> DataFrame:
+    """docs with one more column (replacing one of its name): the spans found."""
+    kept = [c for c in docs.columns if c != name]
 
     def make() -> Callable[[pa.RecordBatch], Iterable[dict]]:
         scanner = Scanner(rules)
@@ -127,11 +129,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, tex
             ]
 
         def apply(batch):
-            yield {c: batch.column(c) for c in kept} | {"spans": [one(x) for x in utf8(batch, text)]}
+            yield {c: batch.column(c) for c in kept} | {name: [one(x) for x in utf8(batch, text)]}
 
         return apply
 
-    schema = docs.select(*kept).schema.add(StructType.fromDDL(f"spans {SPANS}")["spans"])
+    schema = docs.select(*kept).schema.add(StructType.fromDDL(f"{name} {SPANS}")[name])
     return map_batches(docs.select(*kept), make, schema)
 
 

@@ -61,16 +61,21 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, text: str = "text", shingle: int = SHINGLE, kept: list[str] | None = None, name: str = "fp"
+) -> DataFrame:
+    """The kept columns (all by default) and the fingerprint."""
+    kept = [c for c in docs.columns if c != name] if kept is None else kept
+
     def make() -> Callable[[pa.RecordBatch], Iterable[dict]]:
         def apply(batch):
             found = np.fromiter((fingerprint(x, shingle) for x in utf8(batch, text)), np.uint64, batch.num_rows)
-            yield {"id": batch.column(id_column), "fp": signed(found)}
+            yield {c: batch.column(c) for c in kept} | {name: signed(found)}
 
         return apply
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return map_batches(docs.select(id_column, text), make, f"id {kind}, fp bigint")
+    schema = docs.select(*kept).schema.add(name, "long")
+    return map_batches(docs.select(*kept, *[text] * (text not in kept)), make, schema)
 
 
 def _walsh(width: int) -> list[int]:
@@ -230,17 +235,44 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp, component): the component is the least id that links lead to."""
     store = Store(docs.sparkSession, "simhash")
-    found = store.save(fingerprints(docs, id_column, text, shingle), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(near_links(distinct.select("fp"), store, max_bits), store)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    found = store.save(fingerprints(slim, "text", shingle, ["id"]), "fingerprints")
+    placed = _placed(found.groupBy("fp").agg(F.min("id").alias("first")), store, max_bits)
     named = placed.groupBy("root").agg(F.min("first").alias("component"))
     members = placed.select("fp", "root").join(named, "root").select("fp", "component")
     return found.join(members, "fp")
 
 
+def _placed(distinct: DataFrame, store: Store, max_bits: int) -> DataFrame:
+    """distinct (one row per fp) with the root fingerprint of each one's component."""
+    roots = components(near_links(distinct.select("fp"), store, max_bits), store).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """The rows of docs that have the least id of their component, null ids last; of rows that
+    are alike in id and fingerprint one stays, and of equal ids that of the least fingerprint."""
+    store = Store(docs.sparkSession, "simhash")
+    slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    found = store.save(fingerprints(slim, "text", shingle, ["id"]), "fingerprints")
+    counted = found.groupBy("fp", "id").agg(F.count("*").alias("rows"))
+    least = counted.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp", "rows")).alias("first"))
+    placed = _placed(store.save(least, "least"), store, max_bits)
+    chosen = placed.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.fp").alias("stage_fp"), F.col("first.id").alias("stage_id"), F.col("first.rows").alias("stage_rows")
+    )
+    chosen = store.save(chosen, "chosen").withColumnRenamed("stage_fp", "chosen_fp")
+    full = fingerprints(docs, text, shingle, name="stage_fp")
+    kept = full.join(
+        chosen, (full["stage_fp"] == chosen["chosen_fp"]) & full[id_column].eqNullSafe(chosen["stage_id"])
+    )
+    once = kept.where("stage_rows = 1").select(docs.columns)
+    repeated = kept.where("stage_rows > 1").dropDuplicates(["stage_fp"]).select(docs.columns)
+    return once.unionByName(repeated)
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"),

@@ -163,13 +163,16 @@ def _compressed(texts: DataFrame, kind: str) -> DataFrame:
     return map_batches(texts, make, f"id {kind}, h int, body binary")
 
 
-def sorted_pass(rows: DataFrame, group: str, member: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def sorted_pass(rows: DataFrame, group: str, member: str, keep: list[str], store: Store) -> tuple[DataFrame, DataFrame]:
     """One pass: rows (group, member, n, keep...) are grouped by a digit and then by the next.
 
     First result: the rows alone in nothing yet (n = 1) whose member class has others, so they
     are repeated. Second: one row of each class, n at most 2, where a group has several."""
-    classes = rows.groupBy(group, member).agg(F.sum("n").alias("total"), *[F.first(c).alias(c) for c in keep])
-    groups = classes.groupBy(group).agg(F.count("*").alias("classes")).where("classes > 1")
+    # stored, so that both sides of the joins come from shuffles whose hot keys can be split
+    classes = store.save(
+        rows.groupBy(group, member).agg(F.sum("n").alias("total"), *[F.first(c).alias(c) for c in keep]), "classes"
+    )
+    groups = store.save(classes.groupBy(group).agg(F.count("*").alias("classes")).where("classes > 1"), "groups")
     repeated = rows.where("n = 1").join(classes.where("total > 1").select(group, member), [group, member], "left_semi")
     open_ = classes.join(groups.select(group), group, "left_semi").withColumn("n", F.least("total", F.lit(2)).cast("int"))
     return repeated, open_.drop("total")
@@ -283,12 +286,12 @@ def _window_rows(bodies: DataFrame, kind: str) -> DataFrame:
 def repeated_windows(texts: DataFrame, kind: str, store: Store) -> list[DataFrame]:
     """Tables (id, h, lo, hi): the windows from lo to hi start strings that also start elsewhere."""
     rows = _anchor_rows(texts, kind)
-    often = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    often = store.save(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "often")
     kept = store.save(rows.join(often, "key", "left_semi").withColumn("n", F.lit(1)), "anchors")
-    done, open_ = sorted_pass(kept, "key", "wide", ["id", "h", "lo", "hi", "p"])
+    done, open_ = sorted_pass(kept, "key", "wide", ["id", "h", "lo", "hi", "p"], store)
     bodies = store.save(_with_bodies(open_, texts, kind), "bytes")
     blocks = store.save(_block_rows(bodies, kind), "blocks")
-    done_blocks, open_ = sorted_pass(blocks, "g", "whole", ["id", "h", "row", "lo", "hi"])
+    done_blocks, open_ = sorted_pass(blocks, "g", "whole", ["id", "h", "row", "lo", "hi"], store)
     named = open_.select(
         F.col("id").alias("w_id"), F.col("h").alias("w_h"), "row", F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi"),
         F.col("n").alias("w_n"),
