@@ -7,7 +7,7 @@ that still changed until none does. An ordered aggregation of the vocabulary's b
 decodes. Words are put together again by their order in each text, so ids and decoded bytes are
 those of the whole text.
 
-Long words (over 64 bytes) take all occurrences of their minimum rank in one step, non-overlapping
+Long words (of 64 bytes or more) take all occurrences of their minimum rank in one step, non-overlapping
 from the left. That gives the same ids where the new token is part of no merge of lower rank;
 for other tokens only the leftmost pair is taken.
 
@@ -20,6 +20,7 @@ same name.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
@@ -38,23 +39,25 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 STEP_BYTES, QUERY_WORDS, LONG_BYTES, LONG_STEPS = 2_000_000, 20_000, 1_000_000, 16
 LONG = 64
 #: Words remembered per Python worker: two generations of this many.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
+#: A cell is a position and a token as one number, position first, so cells sort by position.
 _SHORT_SQL = """
-WITH RECURSIVE steps(w, pos, tok, step) AS (
-  SELECT w, pos, tok, 0 FROM words
+WITH RECURSIVE steps(w, cell, step) AS (
+  SELECT w::INTEGER, (pos * 65536 + tok)::INTEGER, 0::UTINYINT FROM words
   UNION ALL
-  SELECT w, pos, CASE WHEN place = least_place THEN merged ELSE tok END, step + 1
-  FROM (
-    SELECT *, lag(place) OVER (PARTITION BY w ORDER BY pos) AS place_before
-    FROM (
-      SELECT p.*, m.merged, m.merged * 4294967296 + pos AS place,
-             min(m.merged * 4294967296 + pos) OVER (PARTITION BY w) AS least_place
-      FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next_tok FROM steps) p
-      LEFT JOIN merges m ON m.pair = p.tok * 4294967296 + p.next_tok))
-  WHERE least_place IS NOT NULL AND place_before IS DISTINCT FROM least_place
+  (WITH pairs AS MATERIALIZED (
+     SELECT p.*, m.merged, m.merged * 64 + (p.cell >> 16) AS place
+     FROM (SELECT *, lead(cell) OVER (PARTITION BY w ORDER BY cell) AS next_cell FROM steps) p
+     LEFT JOIN short_merges m ON m.pair = (p.cell & 65535)::BIGINT * 65536 + (p.next_cell & 65535)),
+   chosen AS (
+     SELECT w, min(place) AS least_place, arg_min(next_cell, place) AS absorbed
+     FROM pairs WHERE place IS NOT NULL GROUP BY w)
+   SELECT w, CASE WHEN place = least_place THEN (cell >> 16) * 65536 + merged ELSE cell END, step + 1::UTINYINT
+   FROM pairs JOIN chosen USING (w) WHERE cell <> absorbed)
 )
-SELECT w, pos, tok FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
+SELECT w, cell >> 16 AS pos, cell & 65535 AS tok
+FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
 """
 
 _LONG_SQL = """
@@ -82,7 +85,7 @@ SELECT w, pos, tok FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP
 """
 
 _FINISH_SQL = """
-SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hex(bytes), '' ORDER BY pos) AS decoded
+SELECT w, list(tok ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS decoded
 FROM final JOIN vocabulary ON tok = id GROUP BY w
 """
 
@@ -117,6 +120,12 @@ class Encoder:
         merges = merge_rows(ranks)  # noqa: F841  read by name
         vocabulary = pa.table({"id": list(ranks.values()), "bytes": list(ranks)})  # noqa: F841
         self.db.sql("CREATE TABLE merges AS SELECT * FROM merges")
+        # cells hold tokens below 65,536; a larger vocabulary takes the other query for all words
+        self.short = LONG if max(ranks.values()) < 1 << 16 else 0
+        self.db.sql(
+            "CREATE TABLE short_merges AS SELECT (pair >> 32) * 65536 + (pair & 4294967295) AS pair,"
+            " merged::INTEGER AS merged FROM merges"
+        )
         self.db.sql("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.young: dict[str, tuple[bytes, bytes]] = {}
@@ -146,10 +155,14 @@ class Encoder:
         self.db.register("final", final)
         out: list = [None] * len(words)
         done = self.db.sql(_FINISH_SQL).to_arrow_table()
-        ids = done.column("ids").combine_chunks()
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
-        for i, w, decoded in zip(range(len(done)), done.column("w").to_pylist(), done.column("decoded").to_pylist(), strict=True):
-            out[w] = values[offsets[i] : offsets[i + 1]].tobytes(), bytes.fromhex(decoded)
+        ids, decoded = done.column("ids").combine_chunks(), done.column("decoded").combine_chunks()
+        cuts, values = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype(np.int32).tobytes()
+        # the pieces of a word follow each other, so its bytes are one slice of them all
+        ends = decoded.values.cast(pa.large_binary()).buffers()
+        marks = np.frombuffer(ends[1], np.int64)[decoded.offsets.to_numpy()].tolist()
+        joined = ends[2].to_pybytes() if ends[2] else b""
+        for i, w in enumerate(done.column("w").to_pylist()):
+            out[w] = values[cuts[i] : cuts[i + 1]], joined[marks[i] : marks[i + 1]]
         return out
 
     def words(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
@@ -158,7 +171,7 @@ class Encoder:
             known = self.young.get(word) or self.old.get(word)
             if known:
                 found[word] = self.young[word] = known
-            elif len(body := word.encode()) <= LONG:
+            elif len(body := word.encode()) < self.short:
                 new.append((word, body))
             else:
                 long.append((word, body))
@@ -205,11 +218,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", pattern: str = public
         def apply(batch):
             texts = strings(batch, text)
             at = 0
+            gc.disable()  # words and pairs form no cycles, and there are millions of them
             for part in _by_bytes(texts, STEP_BYTES, lambda x: len(x or "")):
                 words = [split.findall(x) if x else [] for x in part]
                 solved = encoder.words(set().union(*words))
-                ids = [b"".join([solved[w][0] for w in own]) for own in words]
-                decoded = [b"".join([solved[w][1] for w in own]) for own in words]
+                ids, decoded = [], []
+                for own in words:
+                    pairs = list(map(solved.__getitem__, own))
+                    ids.append(b"".join([x for x, _ in pairs]))
+                    decoded.append(b"".join([x for _, x in pairs]))
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 rows = batch.slice(at, len(part))
@@ -218,6 +235,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", pattern: str = public
                     "ids": pa.ListArray.from_arrays(pa.array(offsets), values),
                     "decoded": decoded,
                 }
+            gc.enable()
 
         return apply
 
