@@ -59,20 +59,23 @@ class Lexicon:
         self.children: list[dict[str, int]] = [{}]
         self.word: list[tuple[int, float] | None] = [None]  # errors allowed and weight
         self.beginning: list[float | None] = [None]
+        self.allowed = [-1]  # most errors of the words through a node; no word is reached with more
         for term, whole, weight in terms:
-            node = 0
+            node, errors = 0, errors_allowed(term) if whole else -1
+            self.allowed[0] = max(self.allowed[0], errors)
             for letter in term:
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.word.append(None)
                     self.beginning.append(None)
+                    self.allowed.append(-1)
                 node = self.children[node][letter]
+                self.allowed[node] = max(self.allowed[node], errors)
             if whole:
-                self.word[node] = (errors_allowed(term), weight)
+                self.word[node] = (errors, weight)
             else:
                 self.beginning[node] = weight
-        self.most = max((errors_allowed(t) for t, whole, _ in terms if whole), default=0)
         self.known: dict[str, tuple[float, bool] | None] = {}
         self._restart()
 
@@ -87,10 +90,11 @@ class Lexicon:
         todo = list(places)
         while todo:
             node = todo.pop()
-            if places[node] < self.most:
+            errors = places[node] + 1
+            if errors <= self.allowed[node]:
                 for child in self.children[node].values():
-                    if places[node] + 1 < places.get(child, self.most + 1):
-                        places[child] = places[node] + 1
+                    if errors <= self.allowed[child] and errors < places.get(child, errors + 1):
+                        places[child] = errors
                         todo.append(child)
         key = frozenset(places.items())
         if key not in self.numbers:
@@ -103,7 +107,7 @@ class Lexicon:
         after: dict[int, int] = {}
 
         def reach(node: int, errors: int) -> None:
-            if errors <= self.most and errors < after.get(node, self.most + 1):
+            if errors <= self.allowed[node] and errors < after.get(node, errors + 1):
                 after[node] = errors
 
         for node, errors in self.sets[state].items():
@@ -126,7 +130,7 @@ class Lexicon:
                 best = (max(self.beginning[node], best[0] if best else 0.0), False)
         if node is not None and self.word[node]:
             best = (max(self.word[node][1], best[0] if best else 0.0), False)
-        if best or not self.most or len(word) < 4:
+        if best or self.allowed[0] < 1 or len(word) < 4:
             return best
         if len(self.sets) > MAX_STATES:
             self._restart()
@@ -144,16 +148,11 @@ class Lexicon:
         if not text:
             return 0.0, 0.0, 0.0, 0.0
         pieces = PIECES.findall(text.lower())
-        known, hits = self.known, []
-        for at, word in enumerate(pieces):
-            try:
-                hit = known[word]
-            except KeyError:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                hit = known[word] = self.find(word)
-            if hit:
-                hits.append((at, *hit))
+        known = self.known
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known.update([(word, self.find(word)) for word in set(pieces).difference(known)])
+        hits = [(at, *hit) for at, hit in enumerate(map(known.__getitem__, pieces)) if hit]
         sums = [0.0, 0.0, 0.0]
         for at, weight, misspelled in hits:
             quoted = quotation(pieces, at)
@@ -253,7 +252,8 @@ def score(docs: DataFrame, labelled_ids: DataFrame, id_column: str = "doc_id", t
     spark = docs.sparkSession
     store = Store(spark, "toxicity")
     kind = docs.schema[id_column].dataType.simpleString()
-    labelled_ids = labelled_ids.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    # labels grow with the documents, so they are not broadcast at any size
+    labelled_ids = labelled_ids.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).hint("merge")
     slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
 
     def compress() -> Callable[[pa.RecordBatch], Iterable[dict]]:
@@ -280,9 +280,9 @@ def score(docs: DataFrame, labelled_ids: DataFrame, id_column: str = "doc_id", t
         return apply
 
     features = store.save(map_batches(slim, make, f"id {kind}, " + ", ".join(f"{x} double" for x in FEATURES)), "features")
-    sample = (
-        features.join(labelled_ids, "id").orderBy(F.xxhash64("id"), "id").limit(MAX_FIT).select(*FEATURES, "label").toPandas()
-    )
+    known, place = features.join(labelled_ids, "id"), F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    few = int((1 << 32) * min(1.0, 2 * MAX_FIT / max(1, known.count())))  # so no task sorts more than twice the sample
+    sample = known.where(place < few).orderBy(place, "id").limit(MAX_FIT).select(*FEATURES, "label").toPandas()
     weights = fit(sample[list(FEATURES)].to_numpy(float), sample["label"].to_numpy(float))
     if weights is None:
         return features.withColumn("score", F.lit(0.0))
