@@ -68,23 +68,25 @@ def add_syslog_timestamp(rows: DataFrame, header: str, as_of, leap_day: bool = T
 
 def parse_time_argument(value, session_zone: str = "UTC") -> datetime | None:
     """ISO-8601 text (``Z`` and offsets allowed) as a naive date-time of the session zone."""
-    if value is None or isinstance(value, datetime):
-        parsed = value
-    else:
-        text = value.strip()
-        parsed = datetime.fromisoformat(text[:-1] + "+00:00" if text.endswith("Z") else text)
-    if parsed is not None and parsed.tzinfo is not None:
-        parsed = parsed.astimezone(ZoneInfo(session_zone)).replace(tzinfo=None)
-    return parsed
+    moment = datetime.fromisoformat(value.strip()) if isinstance(value, str) else value
+    if moment is None or moment.utcoffset() is None:
+        return moment
+    return moment.astimezone(ZoneInfo(session_zone)).replace(tzinfo=None)
 
 
 def within(df: DataFrame, moment: Column, start=None, end=None) -> DataFrame:
-    """Rows from ``start`` to ``end``, both included; without bounds every row stays."""
+    """Rows from ``start`` to ``end``, both included; without bounds every row stays.
+
+    Saved tables are partitioned by the day of the moment (``event_date``); the days are
+    bounded too, so that only theirs are read.
+    """
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     for bound, keep in ((start, Column.__ge__), (end, Column.__le__)):
         bound = parse_time_argument(bound, zone)
         if bound is not None:
             df = df.filter(keep(moment, as_of_column(bound)))
+            if "event_date" in df.columns:
+                df = df.filter(keep(F.col("event_date"), F.lit(bound.date())))
     return df
 
 

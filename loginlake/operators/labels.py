@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
@@ -13,7 +14,6 @@ from .sessions import correlate, session_rows
 from .storage import stored
 
 _BROADCAST_ROWS = 10_000  # a registry above this many rows is not broadcast by hint
-_WINDOW_ROWS = 1_000  # Spark keeps the per-task top rows of a window up to this rank
 
 
 @dataclass(frozen=True)
@@ -112,18 +112,15 @@ def snapshot_sightings(active: DataFrame, known_users: DataFrame | None = None)
 
 
 def _ranked(first_seen: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """The first ``caps[dimension]`` values of each dimension with their position."""
+    """The first ``caps[dimension]`` values of each dimension with their position.
+
+    The first sightings are stored, as each dimension takes its own top rows of them; only
+    those top rows, at most as many as the caps, are then numbered in a window.
+    """
+    first_seen = stored(first_seen)
     order = Window.partitionBy("dimension").orderBy("first", "value")
-    if max(caps.values()) > _WINDOW_ROWS:
-        parts = [
-            first_seen.filter(F.col("dimension") == d).orderBy("first", "value").limit(n)
-            for d, n in caps.items()
-        ]
-        first_seen = parts[0]
-        for part in parts[1:]:
-            first_seen = first_seen.unionByName(part)
-    ranked = first_seen.withColumn("position", F.row_number().over(order))
-    return ranked.filter((F.col("position") <= max(caps.values())) & (F.col("position") <= _cap_column(caps)))
+    tops = [first_seen.filter(F.col("dimension") == d).orderBy("first", "value").limit(n) for d, n in caps.items()]
+    return reduce(DataFrame.unionByName, tops).withColumn("position", F.row_number().over(order))
 
 
 def _first_seen(sightings: DataFrame, with_display: bool) -> DataFrame:

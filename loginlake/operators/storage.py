@@ -7,22 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """Shared folder for checkpoints: the one the cluster names in spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints: spark.checkpoint.dir, or the one set on the context.
 
-    Only a local session without one gets a temporary folder of its own.
+    A session with neither gets a folder of its own, which stays its setting from then on; a
+    cluster must name one that all machines share.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="loginlake-")
-    if folder is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loginlake-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back by everything built on it.
-
-    Without a shared folder the plan is left as it is and computed where needed.
-    """
-    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
+    """``df`` computed once and read back by everything built on it."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

@@ -12,7 +12,7 @@ from ..functions.sources import add_source_details, is_remote
 from ..operators import enrich, failures, labels, metrics, sessions as correlation
 from ..operators.parse import events_of, is_recognised, parse_auth_events
 from ..operators.storage import checkpoint_folder
-from ..sources import derived, logs, who
+from ..sources import derived, logs, rotated, who
 from ..streaming.ingest import AuthLogStream
 from ..streaming.snapshots import SnapshotStream
 from . import reports
@@ -24,10 +24,7 @@ SMALL_CAPS = {"user": 12, "source_ip": 10, "auth_method": 1}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table, spread over the free cores if it comes in fewer pieces than there are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Inputs:
@@ -53,10 +50,7 @@ class Inputs:
         return query.lastProgress["batchId"]
 
     def _folder(self) -> str:
-        folder = checkpoint_folder(self.spark)
-        if folder is None:
-            raise RuntimeError("streaming queries need a shared folder in spark.checkpoint.dir")
-        return f"{folder}/stream-{uuid.uuid4().hex}"
+        return f"{checkpoint_folder(self.spark)}/stream-{uuid.uuid4().hex}"
 
     @cached_property
     def log_stream(self) -> tuple[AuthLogStream, int]:
@@ -68,6 +62,12 @@ class Inputs:
         stream = SnapshotStream(self.spark, self._folder(), known_users=self.users)
         return stream, self._stream(lambda table: stream.start(derived.who_lines(table)))
 
+    @cached_property
+    def rotated(self) -> str:
+        folder = f"{checkpoint_folder(self.spark)}/rotated-{uuid.uuid4().hex}"
+        rotated.write_rotated(self.lines, folder)
+        return folder
+
     @cached_property
     def lines(self):
         return derived.log_lines(self.table)
@@ -141,7 +141,18 @@ def _source_details(i: Inputs) -> DataFrame:
     )
 
 
+def _ingest_files(i: Inputs) -> DataFrame:
+    """Report of rotated files; how many lines a cut file still gives is left out."""
+    report = logs.ingest_report(logs.read_logs(i.spark, i.rotated), is_recognised("value"), logs.list_logs(i.spark, i.rotated))
+    sound = F.col("status") == "ok"
+    return report.select("file_name", F.when(sound, F.col("lines")).alias("lines"), F.when(sound, F.col("auth_lines")).alias("auth_lines"), "status")
+
+
 _add(
+    ingest_files=_ingest_files,
+    scan_rotated=lambda i: logs.read_logs(i.spark, i.rotated)
+    .filter(F.col("file_name") != rotated.DAMAGED)
+    .select("file_name", "value"),
     ingest_report=lambda i: logs.ingest_report(i.lines, is_recognised("value")),
     parse_events=lambda i: i.events,
     event_kind_counts=lambda i: i.events.groupBy("kind").agg(F.count(F.lit(1)).alias("n")),

@@ -366,8 +366,17 @@ def oracle_sql() -> dict[str, str]:
     return {
         "ingest_report": _with(
             """SELECT CASE WHEN dom = 31 THEN 'auth.log' ELSE 'auth.log.' || (31 - dom) END AS file_name,
-            count(*) AS lines, count(*) FILTER (WHERE contains(line, 'sshd[')) AS auth_lines, 'ok' AS status
+            count(*) AS lines, count(*) FILTER (WHERE contains(line, 'sshd[')) AS auth_lines, 'unchecked' AS status
             FROM lines GROUP BY ALL""", _EVENTS, _TEXT),
+        "ingest_files": _with(
+            """SELECT file_name, CASE WHEN file_name <> 'auth.log.2.gz' THEN count(line) END AS lines,
+            CASE WHEN file_name <> 'auth.log.2.gz' THEN count(*) FILTER (WHERE contains(line, 'sshd[')) END AS auth_lines,
+            CASE WHEN file_name = 'auth.log.2.gz' THEN 'degraded' ELSE 'ok' END AS status
+            FROM (SELECT CASE WHEN dom = 31 THEN 'auth.log' ELSE 'auth.log.' || (31 - dom) || CASE WHEN (31 - dom) % 2 = 0 THEN '.gz' ELSE '' END END
+                    AS file_name, line FROM lines) GROUP BY file_name""", _EVENTS, _TEXT),
+        "scan_rotated": _with(
+            """SELECT CASE WHEN dom = 31 THEN 'auth.log' ELSE 'auth.log.' || (31 - dom) || CASE WHEN (31 - dom) % 2 = 0 THEN '.gz' ELSE '' END END
+            AS file_name, line AS value FROM lines WHERE dom <> 29""", _EVENTS, _TEXT),
         "parse_events": _parse_sql(),
         "event_kind_counts": _with("SELECT kind, count(*) AS n FROM a GROUP BY kind", _EVENTS),
         "ev_accepted": _ev("accepted", 'u AS "user", ip AS source_ip, port, method AS auth_method'),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arguments import report_limit
 from ..functions.sources import or_else
@@ -16,13 +16,9 @@ def retained(rows: DataFrame, order: str, max_history: int | None) -> DataFrame:
     return rows if max_history is None else rows.orderBy(F.col(order).desc()).limit(max_history)
 
 
-def session_time() -> Column:
-    return F.coalesce("logout_time", "login_time")
-
-
 def session_history(sessions: DataFrame, limit=None, start=None, end=None, max_history: int | None = None) -> DataFrame:
     """Latest finished sessions of a time range, newest arrival first."""
-    rows = within(retained(sessions, "close_seq", max_history), session_time(), start, end)
+    rows = within(retained(sessions, "close_seq", max_history), F.col("logout_time"), start, end)
     return rows.orderBy(F.col("close_seq").desc()).limit(report_limit(limit, max_history))
 
 

@@ -9,8 +9,10 @@ from ..operators.sessions import sessions
 
 
 def _write(df: DataFrame, path: str, ts: str, mode: str) -> None:
-    dated = df.withColumn("event_date", F.to_date(ts))
-    dated.write.mode(mode).partitionBy("event_date").parquet(path)
+    """Writes by date, in few files a day; overwriting replaces the days that come, no others."""
+    dated = df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
+    writer = dated.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("event_date").parquet(path)
 
 
 def save_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# gzip files up to this size are checked to their end; pieces in which that is done
+CHECKED_BYTES, PIECE_BYTES = 256 * 2**20, 2**20
+
 
 def _name_filter(log_file: str) -> str:
     return f"{{{log_file},{log_file}.*}}"
@@ -40,7 +46,7 @@ def read_logs(
     tolerant: bool = True,
     recursive: bool = False,
 ) -> DataFrame:
-    """Lines (value, file_name, seq) of ``log_file`` and its rotated, maybe gzipped, copies.
+    """Lines (value, file_name, file_path, seq) of ``log_file`` and its rotated, maybe gzipped, copies.
 
     A damaged file gives the lines before the damage; ``tolerant=False`` fails instead.
     ``recursive`` reads a tree with one directory per host.
@@ -55,58 +61,103 @@ def read_logs(
     return lines.select(
         "value",
         F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_path").alias("file_path"),
         arrival_seq(log_file).alias("seq"),
     )
 
 
+def gzip_is_whole(data: bytes) -> bool:
+    """Whether gzip data decompresses to its end, piece by piece; members may follow each other."""
+    at, member = 0, zlib.decompressobj(wbits=31)
+    try:
+        while at < len(data):
+            piece = data[at : at + PIECE_BYTES]
+            at += len(piece)
+            while piece:
+                member.decompress(piece)
+                piece = member.unused_data
+                if member.eof and piece.strip(b"\0"):
+                    member = zlib.decompressobj(wbits=31)
+                elif member.eof:
+                    piece = b""
+    except zlib.error:
+        return False
+    return member.eof
+
+
 def list_logs(
     spark: SparkSession, log_dir: str, log_file: str = "auth.log", recursive: bool = False
 ) -> DataFrame:
-    """(file_name, bytes) of the files ``read_logs`` takes; contents are not read."""
+    """(file_path, file_name, bytes, state) of the files ``read_logs`` takes.
+
+    Gzip files are decompressed to their end, each by one task: ``whole`` or ``damaged``. Larger
+    ones than a task may hold are ``unchecked``. Other files have no end mark and are ``whole``.
+    Spark's listing leaves out files of zero bytes; they hold no line and get no row.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", _name_filter(log_file))
         .option("recursiveFileLookup", recursive)
         .load(log_dir)
     )
-    return files.select(
+    zipped, small = F.col("path").endswith(".gz"), F.col("length") <= CHECKED_BYTES
+
+    def check(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                state = "whole" if gzip_is_whole(row["content"]) else "damaged"
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "length": row["length"], "state": state}])
+
+    checked = files.filter(zipped & small).select("path", "length", "content")
+    listed = checked.mapInArrow(check, "path string, length bigint, state string").unionByName(
+        files.filter(~(zipped & small)).select(
+            "path", "length", F.when(zipped, "unchecked").otherwise("whole").alias("state")
+        )
+    )
+    return listed.select(
+        F.col("path").alias("file_path"),
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("length").alias("bytes"),
+        "state",
     )
 
 
 def ingest_report(lines: DataFrame, recognised: Column, files: DataFrame | None = None) -> DataFrame:
-    """(file_name, lines, auth_lines, status): one row per file.
+    """One row per file: its lines, those recognised (auth_lines), and a status.
 
-    With the listing in ``files``, a file that has bytes but gave no line is
-    reported as degraded instead of being absent.
+    Without the listing in ``files`` only names are known and the status is ``unchecked``. With
+    it, files are told apart by path; one that is damaged, or has bytes but gave no line, is
+    ``degraded``, one too large to be checked is ``unchecked``.
     """
-    counts = lines.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(recognised).alias("auth_lines"),
-    )
+    counted = [F.count(F.lit(1)).alias("lines"), F.count_if(recognised).alias("auth_lines")]
     if files is None:
-        return counts.withColumn("status", F.lit("ok"))
-    listed = files.groupBy("file_name").agg(F.sum("bytes").alias("bytes"))
-    return listed.join(counts, "file_name", "left").select(
+        return lines.groupBy("file_name").agg(*counted).withColumn("status", F.lit("unchecked"))
+    counts = lines.groupBy("file_path").agg(*counted)
+    lost = (F.col("state") == "damaged") | (F.col("lines").isNull() & (F.col("bytes") > 0))
+    return files.join(counts, "file_path", "left").select(
+        "file_path",
         "file_name",
         F.coalesce("lines", F.lit(0)).alias("lines"),
         F.coalesce("auth_lines", F.lit(0)).alias("auth_lines"),
-        F.when(F.col("lines").isNull() & (F.col("bytes") > 0), "degraded")
-        .otherwise("ok")
-        .alias("status"),
+        F.when(lost, "degraded").when(F.col("state") == "unchecked", "unchecked").otherwise("ok").alias("status"),
     )
 
 
 def ingest_status(report: DataFrame) -> DataFrame:
-    """One row (status, files, lines, first_failed); no file at all counts as degraded."""
+    """One row (status, files, lines, first_failed), the latter a path if paths are known.
+
+    ``degraded`` if a file is or there is none, else ``unchecked`` if a file is, else ``ok``.
+    """
+    name = "file_path" if "file_path" in report.columns else "file_name"
     return report.agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"),
-        F.min(F.when(F.col("status") != "ok", F.col("file_name"))).alias("first_failed"),
+        F.count_if(F.col("status") == "unchecked").alias("unchecked"),
+        F.min(F.when(F.col("status") == "degraded", F.col(name))).alias("first_failed"),
     ).select(
-        F.when((F.col("files") > 0) & F.col("first_failed").isNull(), "ok")
-        .otherwise("degraded")
+        F.when((F.col("files") == 0) | F.col("first_failed").isNotNull(), "degraded")
+        .when(F.col("unchecked") > 0, "unchecked")
+        .otherwise("ok")
         .alias("status"),
         "files",
         "lines",

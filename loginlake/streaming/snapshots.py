@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import labels
 from ..operators.labels import LabelRegistry, apply_labels
 from ..operators.metrics import latest_snapshot
-from ..schemas import LABEL_CAPS
 from ..sources.who import active_sessions
 from .state import BatchTable, CarriedState
 
@@ -29,15 +29,15 @@ def read_snapshot_stream(spark: SparkSession, landing: str, max_files: int | Non
 class SnapshotStream:
     """Keeps the active-session and user-online gauges after each micro-batch.
 
-    ``registry`` is the label registry of the log and ``known_users`` (user) the
-    users it has seen.
+    ``registry`` is the label registry of the log, whose caps hold throughout, and
+    ``known_users`` (user) the users it has seen: a table, or a function that gives the
+    present one for each micro-batch.
     """
 
     spark: SparkSession
     base: str
     registry: LabelRegistry | None = None
-    known_users: DataFrame | None = None
-    caps: dict = field(default_factory=lambda: dict(LABEL_CAPS))
+    known_users: DataFrame | Callable[[], DataFrame] | None = None
 
     def __post_init__(self):
         self.sessions = BatchTable(self.spark, f"{self.base}/active_sessions")
@@ -56,7 +56,7 @@ class SnapshotStream:
         if "line_no" not in lines.columns:
             numbered = lines.withColumn("line_no", F.monotonically_increasing_id())
         active = self.sessions.write(active_sessions(numbered), batch_id)
-        users = self.known_users if batch_id == 0 else None
+        users = self.known_users() if callable(self.known_users) else self.known_users
         names = self._names(active, users, batch_id)
         here = F.col("snapshot_id") == latest_snapshot(lines)
 
@@ -78,7 +78,7 @@ class SnapshotStream:
     def _names(self, active: DataFrame, users: DataFrame | None, batch_id: int) -> LabelRegistry | None:
         if self.registry is None:
             return None
-        known = self.registry if batch_id == 0 else LabelRegistry(self.names.before(batch_id), self.caps)
+        known = self.registry if batch_id == 0 else LabelRegistry(self.names.before(batch_id), self.registry.caps)
         grown = labels.extend_registry(known, labels.snapshot_sightings(active, users))
         self.names.write(grown.rows, batch_id)
-        return LabelRegistry(self.names.after(batch_id), self.caps)
+        return LabelRegistry(self.names.after(batch_id), self.registry.caps)

@@ -337,15 +337,51 @@ def test_damaged_and_missing_files(spark, tmp_path):
     lines = logs.read_logs(spark, str(tmp_path))
     report = logs.ingest_report(lines, is_recognised("value"), logs.list_logs(spark, str(tmp_path)))
     rows = {r.file_name: r for r in report.collect()}
-    assert rows["auth.log"].lines == rows["auth.log"].auth_lines == 20
-    assert rows["auth.log.1.gz"].lines > 100
+    assert rows["auth.log"].lines == rows["auth.log"].auth_lines == 20 and rows["auth.log"].status == "ok"
+    assert rows["auth.log.1.gz"].lines > 100 and rows["auth.log.1.gz"].status == "degraded"
     assert (rows["auth.log.2.gz"].lines, rows["auth.log.2.gz"].status) == (0, "degraded")
     status = logs.ingest_status(report).first()
-    assert (status.status, status.files, status.first_failed) == ("degraded", 3, "auth.log.2.gz")
+    assert (status.status, status.files) == ("degraded", 3) and status.first_failed.endswith("/auth.log.1.gz")
     with pytest.raises(Exception):
         logs.read_logs(spark, str(tmp_path), tolerant=False).count()
 
 
+def test_hosts_with_equal_file_names_stay_apart(spark, tmp_path):
+    good = gzip.compress((head("Invalid user kim from 10.1.0.1") + "\n").encode())
+    for host, data in (("h1", good + good), ("h2", good[:-3]), ("h3", b"no gzip at all")):
+        (tmp_path / host).mkdir()
+        (tmp_path / host / "auth.log.1.gz").write_bytes(data)
+    lines = logs.read_logs(spark, str(tmp_path), recursive=True)
+    report = logs.ingest_report(lines, is_recognised("value"), logs.list_logs(spark, str(tmp_path), recursive=True))
+    rows = {r.file_path.split("/")[-2]: r for r in report.collect()}
+    assert {h: r.status for h, r in rows.items()} == {"h1": "ok", "h2": "degraded", "h3": "degraded"}
+    assert rows["h1"].lines == 2
+    assert logs.ingest_status(report).first().first_failed.endswith("h2/auth.log.1.gz")
+
+
+def test_range_reports_read_their_days_only(spark, tmp_path):
+    events = parse_auth_events(derived_lines(spark), "2024-02-01")
+    paths = [str(tmp_path / n) for n in ("events", "sessions", "failed")]
+    tables.save_events(events, paths[0])
+    tables.save_correlated(spark, *paths, "2024-02-01")
+    stored, rows, failed = (spark.read.parquet(p) for p in paths)
+    bounds = ("2024-01-10T00:00:00", "2024-01-12T12:00:00Z")
+    for report in (
+        reports.session_history(rows, None, *bounds),
+        reports.failed_history(failed, None, *bounds),
+        reports.heatmap(stored, *bounds),
+    ):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "event_date" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+        assert report.count() > 0
+
+
+def derived_lines(spark):
+    from loginlake.sources import derived
+
+    return derived.log_lines(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+
+
 def test_no_logs_is_degraded(spark, tmp_path):
     (tmp_path / "unrelated").write_text("x\n")
     lines = logs.read_logs(spark, str(tmp_path))

@@ -143,3 +143,27 @@ def test_snapshot_gauges_stay(spark, tmp_path):
     online = metrics.user_online(known, active, lines)
     assert bag(stream.online.after(2), "user", "value") == bag(online, "user", "value")
     assert {r.user: r.value for r in online.collect()} == {"alice": 0, "bob": 0, "carol": 1, "dave": 0}
+
+
+def test_snapshot_caps_and_users_hold_in_every_batch(spark, tmp_path):
+    """Caps of the given registry over three batches; users known later get a row."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    for n, user in enumerate(("ann", "bob", "cat")):
+        place(landing, f"who-{n}", [f"{user} pts/0 2026-03-1{n} 12:00 (10.2.0.{n + 1})"], n)
+    known = iter([["ann"], ["ann", "dan"], ["ann", "dan", "eve"]])
+    caps = {"user": 1, "source_ip": 1, "auth_method": 1}
+    empty = spark.createDataFrame([], "dimension string, value string, display string, position int")
+    stream = SnapshotStream(
+        spark,
+        str(tmp_path / "out"),
+        registry=labels.LabelRegistry(empty, caps),
+        known_users=lambda: spark.createDataFrame([(u,) for u in next(known)], "user string"),
+    )
+    query = stream.start(read_snapshot_stream(spark, str(landing), max_files=1))
+    query.awaitTermination(300)
+    assert query.exception() is None
+    online = {r.user: r.value for r in stream.online.after(2).collect()}
+    assert online == {"ann": 0, "__other__": 1}
+    named = {(r.user, r.source_ip): r.value for r in stream.active.after(2).collect()}
+    assert named == {("ann", "10.2.0.1"): 0, ("__other__", "__other__"): 1}
