@@ -19,8 +19,8 @@ the rows of passes 3 and 4 and to cut out what is repeated.
 
 Null texts are empty. Texts shorter than the length have no window and keep all bytes. Repeated
 rows are each other's repetition. A row is known by its id and a hash of its text, so null ids
-are allowed. Long texts are passed in pieces of a million windows whose windows do not differ
-from those of the whole. Other columns are not read, so they cannot clash.
+are allowed. Long texts are passed in pieces of a million anchor places, with rows that do not
+differ from those of the whole. Other columns are not read, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -83,9 +83,14 @@ class Hashes:
 
 
 def anchors(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[dict[str, np.ndarray]]:
-    """Rows of pass 1 and 2, piece by piece: windows lo to hi share the anchor at place p."""
-    for at in range(0, len(raw) - length + 1, PIECE):
-        piece = raw[at : at + PIECE + length - 1]
+    """Rows of pass 1 and 2, piece by piece: windows lo to hi share the anchor at place p.
+
+    A piece gives the anchors that lie in it and looks at all windows that these may have, also
+    those that begin before the piece, so an anchor is one row wherever the pieces end."""
+    before = length - anchor
+    for at in range(0, len(raw) - anchor + 1 if len(raw) >= length else 0, PIECE):
+        base = max(0, at - before)
+        piece = raw[base : at + PIECE + length - 1]
         hashes = Hashes(piece)
         key = hashes.every(anchor)
         least = (key & ~PLACE) | np.arange(len(key), dtype=np.uint64)
@@ -99,13 +104,15 @@ def anchors(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iter
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         hi = np.append(starts[1:], len(place)) - 1
         p = place[starts]
+        own = (p + base >= at) & (p + base < at + PIECE)
+        starts, hi, p = starts[own], hi[own], p[own]
         wide = hashes.of(starts, hi + length) + (p - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         yield {
             "key": key[p],
             "wide": mixed(wide + (hi - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)),
-            "lo": starts + at,
-            "hi": hi + at,
-            "p": p + at,
+            "lo": starts + base,
+            "hi": hi + base,
+            "p": p + base,
         }
 
 

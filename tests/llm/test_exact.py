@@ -10,7 +10,7 @@ import tiktoken
 import public_tokenizers
 import xxhash
 
-from loginlake.llm import bpe, catalog, decontaminate, line_dedup, pseudonyms, quality, secrets, simhash
+from loginlake.llm import bpe, catalog, decontaminate, line_dedup, pseudonyms, quality, secrets, simhash, suffix_dedup
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,6 +46,24 @@ def test_suffix_dedup(spark, tables):
     assert order(map(tuple, got.collect())) == order(expected)
 
 
+def test_pieces_of_long_texts_give_the_rows_of_the_whole(monkeypatch):
+    raw = np.random.default_rng(8).integers(97, 123, 20_000).astype(np.uint8)
+    raw[9_000:9_700] = 97
+    rows = lambda: [x for part in suffix_dedup.anchors(raw) for x in zip(*(part[k].tolist() for k in part), strict=True)]
+    whole = rows()
+    for size in (100, 169, 700, 19_801, 19_900):
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        assert rows() == whole
+    assert list(suffix_dedup.anchors(raw[:199])) == [] and sum(len(x["p"]) for x in suffix_dedup.anchors(raw[:200])) == 1
+
+
+def test_unique_text_of_several_pieces_is_kept(spark):
+    body = np.random.default_rng(9).integers(97, 123, 3 * suffix_dedup.PIECE).astype(np.uint8).tobytes()
+    texts = [(1, body.decode()), (2, body[5_000:5_300].decode())]
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r.id: [tuple(x) for x in r.removed] for r in got} == {1: [(5_000, 5_300)], 2: [(0, 300)]}
+
+
 def test_bpe(spark, tables):
     where, docs = tables
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
