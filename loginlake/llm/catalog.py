@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     bpe,
     decontaminate,
+    fill_in_middle,
     language_id,
     line_dedup,
     pseudonyms,
@@ -32,8 +33,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL}
+    return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
+        "op13_fill_in_middle": fill_in_middle.OP13_SQL,
+    }
