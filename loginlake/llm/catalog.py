@@ -17,6 +17,7 @@ from . import (
     secrets,
     simhash,
     suffix_dedup,
+    token_files,
     toxicity,
 )
 
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op12_token_files": token_files.op12_token_files,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 

@@ -38,10 +38,10 @@ class Store:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.count += 1
         path = f"{self.folder}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._loginlake_path = path
         return saved

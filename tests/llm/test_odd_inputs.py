@@ -7,7 +7,7 @@ from loginlake.llm import catalog
 
 from .conftest import odd_rows
 
-PER_ROW = ["op1_toxicity", "op4_suffix_dedup", "op5_bpe", "op6_quality", "op7_language_id", "op8_simhash", "op9_secret_scan", "op13_fill_in_middle"]
+PER_ROW = ["op1_toxicity", "op4_suffix_dedup", "op5_bpe", "op6_quality", "op7_language_id", "op8_simhash", "op9_secret_scan", "op12_token_files", "op13_fill_in_middle"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
