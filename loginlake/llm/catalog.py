@@ -12,6 +12,7 @@ from . import (
     fill_in_middle,
     language_id,
     line_dedup,
+    prefix_trie,
     pseudonyms,
     quality,
     secrets,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_token_files": token_files.op12_token_files,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
@@ -42,5 +44,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.OP2_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op13_fill_in_middle": fill_in_middle.OP13_SQL,
     }

@@ -53,12 +53,15 @@ def folder(spark, odd, tmp_path_factory):
     """The odd rows as tables in a folder, and empty ones in another."""
     top = tmp_path_factory.mktemp("odd")
     labels = [(i, i % 2, int("idiot" in (t or ""))) for i, t, _, _ in odd_rows() if i]
+    base_text = odd_rows()[4][1]
     benchmark = [(1, odd_rows()[20][1][40:300]), (2, None), (3, "Too short."), (None, ""), (4, odd_rows()[20][1][40:300])]
+    talk = [(1, None, "user", base_text), (1, 2, None, "b"), (1, 2, None, "b"), (2, 0, "user", None), (None, 1, "user", "c"), (3, 1, "user", base_text)]
     for name, keep in (("full", True), ("empty", False)):
         for table, df in (
             ("documents", odd),
             ("labels", spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")),
             ("benchmark", spark.createDataFrame(benchmark, "item_id bigint, text string")),
+            ("conversations", spark.createDataFrame([(*r, 0, "x") for r in talk], "conv_id bigint, turn bigint, role string, text string, depth int, ids string")),
         ):
             (df if keep else df.limit(0)).write.parquet(f"{top}/{name}/{table}.parquet")
     return {"full": f"{top}/full", "empty": f"{top}/empty"}
