@@ -351,9 +351,9 @@ class RankedReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(arrays, schema, strict=True)], schema=schema)
 
 
-def write(encoded: DataFrame, folder: str, width: str = "<u4", block_bytes: int = BLOCK_BYTES) -> None:
+def write(encoded: DataFrame, folder: str, store: Store, width: str = "<u4", block_bytes: int = BLOCK_BYTES) -> None:
     """Writes stored rows (id, ids, row) of encode() to a new folder that all machines share; row tells equal
-    rows apart."""
+    rows apart. The rows are dropped as soon as their codes are stored, from which the ranges are then drawn."""
     spark = encoded.sparkSession
     of_rank = np.array(ranks(encoded, width), "<u4")
     files, path = filesystem(folder)
@@ -378,7 +378,9 @@ def write(encoded: DataFrame, folder: str, width: str = "<u4", block_bytes: int
 
     kind = encoded.schema["id"].dataType.simpleString()
     coded = map_batches(encoded.select("id", "ids", "row"), make, f"id {kind}, row bigint, n bigint, control binary, data binary")
-    keys = ["id", F.xxhash64("control", "data"), "row"]
+    keys = ["id", "hash", "row"]
+    coded = store.save(coded.withColumn("hash", F.xxhash64("control", "data")), "codes")
+    store.drop(encoded)
     register(spark)
     (
         coded.repartitionByRange(*keys)
@@ -390,6 +392,7 @@ def write(encoded: DataFrame, folder: str, width: str = "<u4", block_bytes: int
         .mode("append")
         .save()
     )
+    store.drop(coded)
 
 
 def register(spark: SparkSession) -> None:
@@ -412,8 +415,7 @@ def encode_to_files(docs: DataFrame, path: str, folder: str | None = None, id_co
     rows = encode(docs, path, end, id_column, text, width).withColumn("row", F.monotonically_increasing_id())
     stored = store.save(rows, "ids", compression="zstd")
     folder = folder or f"{store.folder}/files"
-    write(stored, folder, width)
-    store.drop(stored)
+    write(stored, folder, store, width)
     return folder
 
 

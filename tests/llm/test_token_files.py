@@ -7,10 +7,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loginlake.llm import token_files
+from loginlake.llm.common import Store
 from loginlake.sources.files import filesystem
 
 from .conftest import odd_rows
@@ -58,11 +61,9 @@ def test_code_and_back(top):
 
 
 def rows_of(spark, docs, tmp_path, **options):
-    store = str(tmp_path / "stored")
-    from pyspark.sql import functions as F
-
-    token_files.encode(docs, PATH, width="<u2").withColumn("row", F.monotonically_increasing_id()).write.parquet(store)
-    token_files.write(spark.read.parquet(store), str(tmp_path / "files"), "<u2", **options)
+    store = Store(spark, "tokens-test")
+    stored = store.save(token_files.encode(docs, PATH, width="<u2").withColumn("row", F.monotonically_increasing_id()), "ids")
+    token_files.write(stored, str(tmp_path / "files"), store, "<u2", **options)
     return token_files.read(spark, str(tmp_path / "files"))
 
 
@@ -92,7 +93,7 @@ def test_frequent_ids_take_a_byte(spark, tmp_path):
     rows = rows_of(spark, docs, tmp_path).collect()
     assert [r.id for r in sorted(rows, key=lambda r: r.start)] == list(range(20))
     files, path = filesystem(str(tmp_path / "files"))
-    size = sum(f.size for f in files.get_file_info(__import__("pyarrow").fs.FileSelector(path)) if f.path.endswith(".ids"))
+    size = sum(f.size for f in files.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".ids"))
     assert size < 20 * 201 * 1.25 + 8 * 600
 
 
