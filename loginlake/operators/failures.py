@@ -39,22 +39,18 @@ def _carry(tails: DataFrame) -> DataFrame:
     )
 
 
-def invalid_user_runs(events: DataFrame, chunk_bits: int = CHUNK_BITS, carried: DataFrame | None = None) -> DataFrame:
-    """Reports of invalid users with ``run_pos``, their place in a run of equal reports.
+def report_chunks(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Reports of invalid users with their place in their chunk.
 
-    A run is a series of reports of one process id with the same user and address
-    and no other report between them.  Each odd one counts, each even one repeats
-    the report before it; ``next`` is the following report of the process id.
-    ``carried`` are reports earlier batches held back.
+    ``run_start`` is where the run of equal reports that a report belongs to begins, NULL
+    for the run that the chunk begins with; ``next`` is the following report in the chunk
+    and ``head`` the chunk's first one.
     """
     rows = events.filter("kind = 'invalid_user' OR (kind = 'failed_password' AND invalid_user)")
     fields = ["user", "source_ip", "kind", "port", "ts"]
     if "source_display" in events.columns:
         fields += ["source_hostname", "source_display"]
     rows = rows.selectExpr(*KEY_VALUES, "seq", f"struct({', '.join(fields)}) AS row")
-    if carried is not None:
-        rows = rows.unionByName(carried.select(rows.columns))
-
     rows = add_chunk(rows, chunk_bits).selectExpr(
         "*",
         f"row_number() OVER ({IN_CHUNK}) AS pos",
@@ -66,7 +62,17 @@ def invalid_user_runs(events: DataFrame, chunk_bits: int = CHUNK_BITS, carried:
         *KEY, "chunk", "seq", "row", "pos", "next", "head",
         f"if(prev IS NULL OR {_same('prev', 'row')}, NULL, pos) AS break",
     )
-    rows = rows.selectExpr("*", f"max(break) OVER ({IN_CHUNK}) AS run_start")
+    return rows.selectExpr("*", f"max(break) OVER ({IN_CHUNK}) AS run_start").drop("break")
+
+
+def invalid_user_runs(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Reports of invalid users with ``run_pos``, their place in a run of equal reports.
+
+    A run is a series of reports of one process id with the same user and address
+    and no other report between them.  Each odd one counts, each even one repeats
+    the report before it; ``next`` is the following report of the process id.
+    """
+    rows = report_chunks(events, chunk_bits)
     carry = _carry(rows.filter("next IS NULL"))
     # most chunks are not affected by their neighbours
     carry = carry.filter("carry % 2 = 1 OR next_head IS NOT NULL")

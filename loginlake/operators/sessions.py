@@ -56,16 +56,10 @@ def _attach(rows: DataFrame, window: str) -> DataFrame:
     )
 
 
-def correlate(
-    events: DataFrame, kinds: tuple = (ACCEPTED, OPENED, CLOSED), chunk_bits: int = CHUNK_BITS,
-    carried: DataFrame | None = None,
+def in_chunks(
+    events: DataFrame, kinds: tuple = (ACCEPTED, OPENED, CLOSED), chunk_bits: int = CHUNK_BITS
 ) -> DataFrame:
-    """One row per open and close: its own fields, ``login``, ``open`` and ``is_last``.
-
-    ``is_last`` marks the last open or close of a (host, pid).  Accepts appear only
-    where no accept or open follows, which ``is_last`` marks too.  ``carried`` are
-    the ``pending_rows`` of earlier batches.
-    """
+    """Accepts, opens and closes with what their own chunk tells about them, see ``_attach``."""
     rows = events.filter(F.col("kind").isin(*kinds))
     login = f"struct({', '.join(f for f in _ACCEPT_FIELDS if f in events.columns)})"
     rows = rows.selectExpr(
@@ -74,29 +68,33 @@ def correlate(
     )
     empty = "if(false, struct(kind, user, auth.login AS login, ts, seq, false AS settled), NULL) AS open"
     rows = rows.selectExpr("*", empty, "false AS settled")
-    if carried is not None:
-        rows = rows.unionByName(carried.select(rows.columns))
+    return _attach(add_chunk(rows, chunk_bits).withColumn("wanted", F.lit(False)), IN_CHUNK)
 
-    rows = _attach(add_chunk(rows, chunk_bits).withColumn("wanted", F.lit(False)), IN_CHUNK)
-    done = f"kind <> '{ACCEPTED}' AND settled AND NOT is_last AND NOT last_auth"
+
+# what reaches beyond its chunk, and the rows such rows may refer to; the others are done
+AT_EDGE = "NOT settled OR last_auth OR is_last"
+DONE = f"kind <> '{ACCEPTED}' AND settled AND NOT is_last AND NOT last_auth"
+
+
+def correlate(
+    events: DataFrame, kinds: tuple = (ACCEPTED, OPENED, CLOSED), chunk_bits: int = CHUNK_BITS
+) -> DataFrame:
+    """One row per open and close: its own fields, ``login``, ``open`` and ``is_last``.
+
+    ``is_last`` marks the last open or close of a (host, pid).  Accepts appear only
+    where no accept or open follows, which ``is_last`` marks too.
+    """
+    rows = in_chunks(events, kinds, chunk_bits)
     columns = [*KEY, "seq", "kind", "user", "ts", "auth", "open", "is_last"]
     # both parts read the same columns of the same shuffle, which is made once
-    inner = rows.filter(done).select(*columns)
-    # what reaches beyond its chunk, and the rows such rows may refer to
-    edge = rows.filter("NOT settled OR last_auth OR is_last").withColumn("wanted", ~F.expr(done))
+    inner = rows.filter(DONE).select(*columns)
+    edge = rows.filter(AT_EDGE).withColumn("wanted", ~F.expr(DONE))
     edge = _attach(edge.drop("last_auth", "is_last"), IN_KEY)
     edge = edge.withColumn("is_last", F.expr(f"if(kind = '{ACCEPTED}', last_auth, is_last)"))
     edge = edge.filter(f"wanted AND (kind <> '{ACCEPTED}' OR is_last)").select(*columns)
     return inner.union(edge).withColumn("login", F.col("auth.login"))
 
 
-def pending_rows(correlated: DataFrame) -> DataFrame:
-    """What a later batch may still need: unused accepts and open sessions."""
-    return correlated.filter(f"is_last AND kind <> '{CLOSED}'").selectExpr(
-        *KEY, "seq", "kind", "user", "ts", "auth", "open", f"kind = '{OPENED}' AS settled"
-    )
-
-
 def _login_fields(rows: DataFrame, login: str) -> DataFrame:
     """Adds the accept's details in the struct column ``login``, '' where there was none."""
     names = rows.select(f"{login}.*").columns

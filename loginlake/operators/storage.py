@@ -23,3 +23,25 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back by everything built on it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def _path(spark: SparkSession, folder: str):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str, create: bool = False) -> list[str]:
+    """Names of what lies in a folder, without hidden files; none if there is no folder."""
+    path, files = _path(spark, folder)
+    if create:
+        files.mkdirs(path)
+    found = files.listStatus(path) if files.exists(path) else []
+    return sorted(n for n in (f.getPath().getName() for f in found) if n[0] not in "._")
+
+
+def move_in(spark: SparkSession, folder: str, target: str) -> None:
+    """Gives a finished folder its final name, under which it appears whole."""
+    source, files = _path(spark, folder)
+    if not files.rename(source, _path(spark, target)[0]):
+        raise OSError(f"cannot move {folder} to {target}")

@@ -21,6 +21,8 @@ AS_OF = "2024-02-01"
 # fixed report range of the range queries
 START, END = "2024-01-10T00:00:00", "2024-01-20T12:00:00Z"
 SMALL_CAPS = {"user": 12, "source_ip": 10, "auth_method": 1}
+SEGMENTS = 4
+_STREAMS: dict[tuple, AuthLogStream] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -53,9 +55,30 @@ class Inputs:
         return f"{checkpoint_folder(self.spark)}/stream-{uuid.uuid4().hex}"
 
     @cached_property
-    def log_stream(self) -> tuple[AuthLogStream, int]:
-        stream = AuthLogStream(self.spark, self._folder(), AS_OF)
-        return stream, self._stream(lambda table: stream.start(derived.log_lines(table)))
+    def log_stream(self) -> AuthLogStream:
+        return self._log_stream(None)
+
+    @cached_property
+    def bounded_stream(self) -> AuthLogStream:
+        """With the shortest age: an accept serves its own segment only."""
+        return self._log_stream("1 MILLISECOND")
+
+    def _log_stream(self, max_age: str | None) -> AuthLogStream:
+        """The lines as ordered segments, taken in by one run after the other of the same stream.
+
+        Several registered queries read the tables of one stream, so a session makes it once for a folder.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, max_age)
+        if key not in _STREAMS:
+            folder = self._folder()
+            stream, landing = AuthLogStream(self.spark, folder, AS_OF, max_age=max_age), f"{folder}/landing"
+            first, last = self.table.agg(F.min("event_id"), F.max("event_id")).first()
+            segment = f"(seq div 2 - {first or 0}) * {SEGMENTS} div {(last or 0) - (first or 0) + 1}"
+            for n in range(SEGMENTS):
+                self.lines.filter(f"{segment} = {n}").write.mode("append").parquet(landing)
+                stream.run(self.spark.readStream.schema(self.lines.schema).parquet(landing))
+            _STREAMS[key] = stream
+        return _STREAMS[key]
 
     @cached_property
     def snapshot_stream(self) -> tuple[SnapshotStream, int]:
@@ -241,21 +264,6 @@ def _logins_pinned(i: Inputs) -> DataFrame:
     return metrics.logins(events, displays=labels.pinned_displays(events, AS_OF))
 
 
-def _stream_counters(i: Inputs) -> DataFrame:
-    stream, last = i.log_stream
-    return stream.counters.after(last)
-
-
-def _stream_registry(i: Inputs) -> DataFrame:
-    stream, last = i.log_stream
-    return stream.label_registry(last).rows
-
-
-def _stream_failed(i: Inputs) -> DataFrame:
-    stream, last = i.log_stream
-    return stream.all_attempts(last)
-
-
 def _stream_active(i: Inputs) -> DataFrame:
     stream, last = i.snapshot_stream
     return stream.active.after(last)
@@ -267,10 +275,12 @@ def _stream_online(i: Inputs) -> DataFrame:
 
 
 _add(
-    stream_sessions=lambda i: i.log_stream[0].sessions.read().drop("close_user"),
-    stream_failed=_stream_failed,
-    stream_counters=_stream_counters,
-    stream_registry=_stream_registry,
+    stream_events=lambda i: i.log_stream.events.read().select("seq", "host", "pid", "kind", "user", "source_ip", "port", "ts"),
+    stream_sessions=lambda i: i.log_stream.sessions.drop("close_user"),
+    stream_failed=lambda i: i.log_stream.all_attempts(),
+    stream_counters=lambda i: i.log_stream.counts(),
+    stream_registry=lambda i: i.log_stream.label_registry().rows,
+    stream_bounded=lambda i: i.bounded_stream.sessions.drop("close_user"),
     stream_active=_stream_active,
     stream_online=_stream_online,
 )

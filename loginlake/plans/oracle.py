@@ -441,6 +441,11 @@ def oracle_sql() -> dict[str, str]:
             count(*) AS value FROM a JOIN ({_FIRST_DISPLAY}) n ON n.value = a.ip WHERE kind = 'accepted' GROUP BY ALL""",
             _EVENTS, _PTR),
         "stream_sessions": _with(f"SELECT {_SESSION_COLS} FROM s", *sf),
+        "stream_events": _with(
+            """SELECT seq, 'host' AS host, pid, kind, u AS "user", ip AS source_ip, port, ts FROM a""", _EVENTS),
+        "stream_bounded": _with(f"SELECT {_SESSION_COLS} FROM s", _EVENTS, _SESSIONS.replace(
+            "p.kind = 'accepted'", "p.kind = 'accepted' AND (SELECT (p.seq // 2 - lo) * 4 // n = (x.seq // 2 - lo) * 4 // n FROM span)"
+        ).replace("\no AS (", "\nspan AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS n FROM events),\no AS (", 1)),
         "stream_failed": _with(f"SELECT {_FAILED_COLS} FROM f", *ff),
         "stream_counters": _counters_sql(),
         "stream_registry": _with("SELECT * FROM ranked", _EVENTS, _SESSIONS, _FAILED, _FULL_REGISTRY),

@@ -1,9 +1,10 @@
 """Micro-batches of log segments through the same jobs a whole log goes through.
 
-The order-sensitive jobs run per micro-batch on its rows and the few rows earlier
-batches left pending, with the batch jobs' own windows: no process id has to be
-held by one task, and results equal those of one run over everything.  Segments are
-immutable files moved into the landing folder; each is read exactly once.
+Two queries, joined by a table.  ``ingest`` parses a micro-batch and settles with windows all that its
+chunks tell by themselves.  ``correlate`` follows it: the few rows at the edges of chunks meet what
+their process id has in the state store (``keyed.Correlator``), and registry and counters grow by the
+batches that came.  Results equal those of one run over everything.  Segments are immutable files moved
+into the landing folder; each is read exactly once.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import labels, metrics
-from ..operators.failures import (
-    attempts_of, counted_invalid_users, invalid_user_runs, other_failures,
-)
+from ..operators.chunks import KEY
+from ..operators.failures import attempts_of, counted_invalid_users, other_failures, report_chunks
 from ..operators.labels import LabelRegistry
 from ..operators.parse import parse_auth_events
-from ..operators.sessions import ACCEPTED, correlate, pending_rows, session_rows
-from ..schemas import LABEL_CAPS
+from ..operators.sessions import CLOSED, DONE, OPENED, in_chunks, session_rows
+from ..operators.storage import move_in, names_in
+from ..schemas import LABEL_CAPS, auth_events
+from . import keyed
 from .state import BatchTable, CarriedState
 
 _REGISTRY = "dimension string, value string, display string, position int"
 _COUNTER_LABELS = ["user", "source_ip", "source_display", "auth_method", "error_type"]
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_segments(
@@ -57,21 +60,27 @@ def segment_seq(batch_id: int) -> Column:
     )
 
 
+def milliseconds(interval: str | None) -> int | None:
+    """An interval such as "30 MINUTES" in milliseconds."""
+    if interval is None:
+        return None
+    spark = SparkSession.getActiveSession()
+    return spark.range(1).select(F.expr(f"unix_millis(timestamp_millis(0) + INTERVAL {interval})")).first()[0]
+
+
 @dataclass
 class AuthLogStream:
     """Continuous events, sessions, failed attempts, counters and label registry.
 
     ``as_of`` fixes the clock; by default a segment's own date settles its years.
-    ``max_pending`` (say ``schemas.PENDING_LIMIT``) bounds the unused accepts and held
-    reports kept between batches, the oldest going first; ``max_age`` lets go of what
-    is older than that.  A held report that goes is written, not lost.
+    ``max_age`` (an interval, of processing time) bounds what a process id may leave behind: an accept not
+    used by then is forgotten, a report held back for its repetition is written as it is.
     """
 
     spark: SparkSession
     base: str
     as_of: object = None
     caps: dict = field(default_factory=lambda: dict(LABEL_CAPS))
-    max_pending: int | None = None
     max_age: str | None = None
 
     def __post_init__(self):
@@ -81,93 +90,219 @@ class AuthLogStream:
         def state(name):
             return CarriedState(self.spark, f"{self.base}/state/{name}")
 
-        self.events, self.sessions, self.failed = table("events"), table("sessions"), table("failed_attempts")
-        self.pending, self.held = state("pending"), state("held")
+        # of ingest, by its batches: rows settled inside their chunks, and runs whose start is not known
+        self.events, self.inner_sessions, self.inner_failed, self.leading = (
+            table(n) for n in ("events", "sessions", "failed_attempts", "leading_runs")
+        )
+        self.edges = f"{self.base}/edges"
+        # of correlate, by its batches
+        self.settled, self.edge_sessions, self.edge_failed = (
+            table(n) for n in ("settled", "edge_sessions", "edge_failed_attempts")
+        )
         self.registry, self.counters = state("registry"), state("counters")
         # results of the window jobs, which several outputs of a batch are made from
-        self.correlated, self.runs = state("correlated"), state("runs")
+        self.chunks, self.reports = state("chunks"), state("reports")
 
-    def start(self, lines: DataFrame, trigger: dict | None = None) -> StreamingQuery:
-        """Runs ``process`` for each micro-batch; by default over all there is, then stops."""
-        writer = lines.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", f"{self.base}/checkpoint"
-        )
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    @property
+    def clock(self):
+        return self.as_of or datetime.now()
+
+    def start(self, lines: DataFrame, trigger: dict) -> tuple[StreamingQuery, StreamingQuery]:
+        """Both queries, side by side, with a trigger such as ``{"processingTime": "10 seconds"}``."""
+        return self.ingest(lines, trigger), self.correlate(lines, trigger)
+
+    def run(self, lines: DataFrame) -> None:
+        """Takes in all there is, then stops."""
+        # a query with timers always finds another batch to run, so it is told to run one
+        once = {"availableNow": True} if self.max_age is None else {"once": True}
+        for start, trigger in ((self.ingest, {"availableNow": True}), (self.correlate, once)):
+            query = start(lines, trigger)
+            query.awaitTermination()
+            if query.exception() is not None:
+                raise query.exception()
+
+    def ingest(self, lines: DataFrame, trigger: dict) -> StreamingQuery:
+        writer = lines.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.base}/checkpoint")
+        return writer.trigger(**trigger).start()
+
+    def correlate(self, lines: DataFrame, trigger: dict) -> StreamingQuery:
+        """Follows the edges that ``ingest`` leaves; ``lines`` only tells what their order looks like."""
+        seq = lines.schema["seq"].dataType if "seq" in lines.columns else _segment_order(self.spark)
+        schema = self._edges(self._chunks(_no_events(self.spark, seq)), self._reports(_no_events(self.spark, seq)), 0).schema
+        names_in(self.spark, self.edges, create=True)
+        edges = self.spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(self.edges)
+        before = self.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+        try:
+            writer = keyed.correlated(edges, milliseconds(self.max_age)).writeStream.outputMode("append")
+            writer = writer.foreachBatch(self.settle).option("checkpointLocation", f"{self.base}/checkpoint-keys")
+            return writer.trigger(**trigger).start()
+        finally:
+            self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+    @staticmethod
+    def _chunks(events: DataFrame) -> DataFrame:
+        return in_chunks(events).drop("wanted")
+
+    @staticmethod
+    def _reports(events: DataFrame) -> DataFrame:
+        return report_chunks(events)
+
+    @staticmethod
+    def _edges(chunks: DataFrame, reports: DataFrame, batch_id: int) -> DataFrame:
+        parts = keyed.login_edges(chunks, batch_id), keyed.report_edges(reports, batch_id)
+        mark = keyed.batch_mark(chunks.sparkSession, batch_id)
+        return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(mark, allowMissingColumns=True)
 
     def process(self, lines: DataFrame, batch_id: int) -> None:
-        """One micro-batch: parse and store its events, then everything built on them."""
+        """One micro-batch of ``ingest``: its events, what its chunks settle, and their edges."""
         if "seq" not in lines.columns:
             lines = lines.withColumn("seq", segment_seq(batch_id))
         clock = self.as_of if self.as_of is not None else F.col("file_time")
-        now = self.as_of or datetime.now()
         events = self.events.write(parse_auth_events(lines, clock), batch_id)
-        finished = self._sessions(events, batch_id, now)
-        new_failures = self._failures(events, batch_id)
-        self._registry(events, finished, batch_id, now)
-        self._counters(events, new_failures, batch_id)
-
-    def _bounded(self, rows: DataFrame, ts: str, events: DataFrame) -> DataFrame:
-        """Pending rows within the limits of number and age."""
-        if self.max_age is not None:
-            newest = events.agg(F.max("ts").alias("t")).scalar()
-            kept = newest.isNull() | F.col(ts).isNull() | (F.col(ts) >= newest - F.expr(f"INTERVAL {self.max_age}"))
-            rows = rows.filter(kept)
-        return rows
-
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        return rows if self.max_pending is None else rows.orderBy(F.col("seq").desc()).limit(self.max_pending)
-
-    def _sessions(self, events: DataFrame, batch_id: int, now) -> DataFrame:
-        self.correlated.write(correlate(events, carried=self.pending.before(batch_id)), batch_id)
-        correlated = self.correlated.after(batch_id)
-        finished = self.sessions.write(session_rows(correlated, now), batch_id)
-        pending = self._bounded(pending_rows(correlated), "ts", events)
-        accepts = self._latest(pending.filter(F.col("kind") == ACCEPTED))
-        self.pending.write(pending.filter(F.col("kind") != ACCEPTED).unionByName(accepts), batch_id)
-        return finished
-
-    def _failures(self, events: DataFrame, batch_id: int) -> DataFrame:
-        """Writes settled attempts and holds back reports whose repetition may still come.
-
-        Returns the attempts that count from this batch on, held back or not.
-        """
-        before = self.held.before(batch_id)
-        self.runs.write(invalid_user_runs(events, carried=before), batch_id)
-        runs = self.runs.after(batch_id)
-        waits = F.col("next").isNull() & (F.col("run_pos") % 2 == 1)
-        candidates = runs.filter(waits).select("host", "pid", "seq", "row")
-        held = self._bounded(candidates.withColumn("ts", F.col("row.ts")), "ts", events).drop("ts")
-        self.held.write(self._latest(held), batch_id)
-        # read back, so that what is held and what is written are parts of one whole
-        kept = self.held.after(batch_id).select("host", "pid", "seq", F.lit(True).alias("_held"))
-        ready = runs.join(kept, ["host", "pid", "seq"], "left").filter(F.col("_held").isNull())
-        attempts = attempts_of(counted_invalid_users(ready)).unionByName(other_failures(events))
-        self.failed.write(attempts, batch_id)
-        if before is not None:
-            runs = runs.join(before.select("host", "pid", "seq"), ["host", "pid", "seq"], "left_anti")
-        return attempts_of(counted_invalid_users(runs)).unionByName(other_failures(events))
 
-    def all_attempts(self, batch_id: int) -> DataFrame:
-        """Failed attempts after ``batch_id``, with those still held back."""
-        return self.failed.read().unionByName(self.held_attempts(batch_id))
+        self.chunks.write(self._chunks(events), batch_id)
+        chunks = self.chunks.after(batch_id)
+        self.inner_sessions.write(session_rows(chunks.filter(DONE), self.clock), batch_id)
+
+        self.reports.write(self._reports(events), batch_id)
+        reports = self.reports.after(batch_id)
+        inside = reports.filter("next IS NOT NULL")
+        own = inside.filter("run_start IS NOT NULL").withColumn("run_pos", F.expr("pos - run_start + 1"))
+        attempts = attempts_of(counted_invalid_users(own)).unionByName(other_failures(events))
+        self.inner_failed.write(attempts, batch_id)
+        self.leading.write(inside.filter("run_start IS NULL").drop("run_start", "head"), batch_id)
 
-    def held_attempts(self, batch_id: int) -> DataFrame:
-        """Attempts still waiting for a repetition after ``batch_id``, as they stand."""
-        rows = self.held.after(batch_id).withColumns(
-            {"run_pos": F.lit(1), "next": F.when(F.lit(False), F.col("row"))}
+        # the edges appear at once, and only once
+        name = f"{batch_id:010d}"
+        if name not in names_in(self.spark, self.edges, create=True):
+            staged = f"{self.base}/staged-edges"
+            self._edges(chunks, reports, batch_id).write.mode("overwrite").parquet(staged)
+            move_in(self.spark, staged, f"{self.edges}/{name}")
+
+    def settle(self, rows: DataFrame, batch_id: int) -> None:
+        """One micro-batch of ``correlate``: what the state settles, then registry and counters."""
+        out = self.settled.write(rows, batch_id)
+        batches = sorted(r.batch for r in out.filter(F.col("part") == keyed.BATCH).select("batch").collect())
+        held, reports = (self._reports_of(out.filter(F.col("part") == p), batches) for p in (keyed.HELD, keyed.REPORT))
+        written = attempts_of(counted_invalid_users(reports)) if reports is not None else None
+        sessions = self._sessions_of(out.filter(F.col("part") == keyed.SESSION), batches)
+        if not batches:  # only timers went off
+            if written is not None:
+                self.edge_failed.write(written, batch_id)
+            for state in (self.registry, self.counters):
+                state.write(state.after(batch_id - 1), batch_id)
+            return
+        finished = self.edge_sessions.write(sessions, batch_id).unionByName(self.inner_sessions.read_batches(batches))
+        leading = attempts_of(counted_invalid_users(self._leading(out, batches)))
+        self.edge_failed.write(written.unionByName(leading), batch_id)
+        # a held report counts at once
+        counted = attempts_of(counted_invalid_users(held)).unionByName(leading)
+        counted = counted.unionByName(self.inner_failed.read_batches(batches))
+        events = self.events.read_batches(batches)
+        self._registry(events, finished, batch_id)
+        self._counters(events, counted, batch_id)
+
+    def _leading(self, out: DataFrame, batches: list[int]) -> DataFrame:
+        """Reports of the runs that chunks begin with; a carried report comes before them."""
+        rows = self.leading.read_batches(batches, keep=True)
+        chunk = rows.schema["chunk"].dataType.simpleString()
+        carried = out.filter(F.col("part") == keyed.CARRY).select(
+            *KEY,
+            F.col("batch").alias("batch_id"),
+            F.from_json("chunk", f"chunk {chunk}")["chunk"].alias("chunk"),
+            F.lit(1).alias("carry"),
         )
-        return attempts_of(counted_invalid_users(rows))
+        return rows.join(carried, [*KEY, "batch_id", "chunk"], "left").withColumn(
+            "run_pos", F.expr("pos + coalesce(carry, 0)")
+        )
+
+    def _reports_of(self, out: DataFrame, batches: list[int]) -> DataFrame | None:
+        """Rows of the state as counted reports: ``row``, and ``next`` if one came."""
+        known = self._report_types()
+        if known is None:
+            return None
+        row, seq = known
+        return out.select(
+            *KEY,
+            F.from_json("body", f"row {row}, seq {seq}", keyed.JSON).alias("b"),
+            F.from_json("next", row, keyed.JSON).alias("next"),
+        ).select(*KEY, "b.seq", "b.row", F.lit(1).alias("run_pos"), "next")
 
-    def _registry(self, events: DataFrame, finished: DataFrame, batch_id: int, now) -> None:
+    def _report_types(self) -> tuple[str, str] | None:
+        names = names_in(self.spark, self.leading.path)
+        if not names:
+            return None
+        schema = self.spark.read.parquet(f"{self.leading.path}/{names[0]}").schema
+        return schema["row"].dataType.simpleString(), schema["seq"].dataType.simpleString()
+
+    def _open_of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (body, login) of opens as the column ``open``, as ``sessions.correlate`` gives it."""
+        events = self.events.read()
+        login = ", ".join(f"{c} string" for c in ("source_ip", "source_hostname", "source_display", "auth_method", "port") if c in events.columns)
+        body = f"user string, ts timestamp_ntz, seq {events.schema['seq'].dataType.simpleString()}"
+        rows = rows.withColumns(
+            {"_o": F.from_json("opened", body, keyed.JSON), "_l": F.from_json("login", login, keyed.JSON)}
+        )
+        return rows.withColumn(
+            "open",
+            F.struct(F.lit(OPENED).alias("kind"), "_o.user", F.col("_l").alias("login"), "_o.ts", "_o.seq"),
+        ).drop("_o", "_l")
+
+    def _sessions_of(self, out: DataFrame, batches: list[int]) -> DataFrame:
+        seq = self.events.read().schema["seq"].dataType.simpleString()
+        rows = out.withColumn("_c", F.from_json("body", f"user string, ts timestamp_ntz, seq {seq}", keyed.JSON))
+        rows = self._open_of(rows).withColumn("kind", F.lit(CLOSED)).select(*KEY, "kind", "open", "_c.*")
+        return session_rows(rows, self.clock)
+
+    @property
+    def sessions(self) -> DataFrame:
+        """All finished sessions so far."""
+        return self.inner_sessions.read().unionByName(self.edge_sessions.read())
+
+    def state(self, name: str) -> DataFrame:
+        """What is in the state store: ``accept``, ``open`` or ``held``, one row per process id."""
+        rows = (
+            self.spark.read.format("statestore").option("stateVarName", name).load(f"{self.base}/checkpoint-keys")
+        )
+        return rows.select("key.*", "value.*")
+
+    def open_sessions(self) -> DataFrame:
+        """Sessions without a close so far: host, pid, user, login_time."""
+        rows = self._open_of(self.state("open").withColumnRenamed("body", "opened"))
+        return rows.select(*KEY, F.col("open.user").alias("user"), F.col("open.ts").alias("login_time"))
+
+    def held_attempts(self) -> DataFrame:
+        """Attempts still waiting for a repetition, as they stand."""
+        rows = self.state("held").select(*KEY, "body", F.lit(None).cast("string").alias("next"))
+        return attempts_of(counted_invalid_users(self._reports_of(rows, [])))
+
+    def failed_attempts(self) -> DataFrame:
+        """Failed attempts written so far."""
+        return self.inner_failed.read().unionByName(self.edge_failed.read())
+
+    def all_attempts(self) -> DataFrame:
+        """Failed attempts so far, with those still held back."""
+        return self.failed_attempts().unionByName(self.held_attempts())
+
+    def last_batch(self) -> int:
+        """Number of the last finished micro-batch of ``correlate``."""
+        return max(int(n) for n in names_in(self.spark, f"{self.base}/checkpoint-keys/commits") if n.isdigit())
+
+    def _registry(self, events: DataFrame, finished: DataFrame, batch_id: int) -> None:
         known = self.registry.before(batch_id, _REGISTRY)
-        uses = labels.log_sightings(events, now, finished)
+        uses = labels.log_sightings(events, self.clock, finished)
         self.registry.write(labels.extend_registry(LabelRegistry(known, self.caps), uses).rows, batch_id)
 
-    def label_registry(self, batch_id: int) -> LabelRegistry:
-        return LabelRegistry(self.registry.after(batch_id), self.caps)
+    def label_registry(self, batch_id: int | None = None) -> LabelRegistry:
+        return LabelRegistry(self.registry.after(self.last_batch() if batch_id is None else batch_id), self.caps)
+
+    def counts(self) -> DataFrame:
+        """The counters so far: metric, labels, value."""
+        return self.counters.after(self.last_batch())
 
     def _counters(self, events: DataFrame, failed: DataFrame, batch_id: int) -> None:
-        """Adds the batch's counts to the counters so far, under the labels known by now."""
+        """Adds the batches' counts to the counters so far, under the labels known by now."""
         names = self.label_registry(batch_id)
         counts = metrics.event_counters(events, names)
         for metric, rows in (
@@ -180,3 +315,13 @@ class AuthLogStream:
             counts = counts.unionByName(before)
         total = counts.groupBy("metric", *_COUNTER_LABELS).agg(F.sum("value").alias("value"))
         self.counters.write(total, batch_id)
+
+
+def _no_events(spark: SparkSession, seq) -> DataFrame:
+    return spark.createDataFrame([], auth_events(seq))
+
+
+def _segment_order(spark: SparkSession):
+    """The type of ``segment_seq``."""
+    empty = spark.createDataFrame([], "file_time timestamp, file_name string, block_start bigint")
+    return empty.select(segment_seq(0).alias("seq")).schema["seq"].dataType

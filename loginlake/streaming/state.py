@@ -22,6 +22,12 @@ class BatchTable:
     def read_batch(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/batch_id={batch_id}")
 
+    def read_batches(self, batches: list[int], keep: bool = False) -> DataFrame:
+        """Rows of some batches; ``keep`` leaves their number in the column batch_id."""
+        paths = [f"{self.path}/batch_id={b}" for b in batches]
+        rows = self.spark.read.option("basePath", self.path).parquet(*paths)
+        return rows.withColumn("batch_id", rows.batch_id.cast("bigint")) if keep else rows.drop("batch_id")
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop("batch_id")
 

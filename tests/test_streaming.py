@@ -35,48 +35,41 @@ def bag(df, *columns):
     return sorted(map(repr, df.select(*columns).collect()))
 
 
+def whole_log(spark, log):
+    return parse_auth_events(spark.createDataFrame(list(enumerate(log)), "seq bigint, value string"), AS_OF).cache()
+
+
+ATTEMPT = ("timestamp", "user", "source_ip", "port", "type", "invalid_user")
+
+
 def test_stream_equals_batch(spark, log, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
-    cuts = [0, 301, 302, 640, len(log)]
-    for n in range(2):
-        place(landing, f"seg-{n}", log[cuts[n]:cuts[n + 1]], n)
+    cuts = [0, 301, 302, 640, 900, len(log)]
     stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF, caps=CAPS)
+    # restarts: only new segments are read; some runs of the second query see several batches of the first
+    for group in ((0, 1), (2,), (3,), (4,)):
+        for n in group:
+            place(landing, f"seg-{n}", log[cuts[n]:cuts[n + 1]], n)
+        stream.run(read_segments(spark, str(landing), max_files=1))
 
-    def run():
-        query = stream.start(read_segments(spark, str(landing), max_files=1))
-        query.awaitTermination(300)
-        assert query.exception() is None
-
-    run()
-    # restart: only the new segments are read
-    for n in range(2, 4):
-        place(landing, f"seg-{n}", log[cuts[n]:cuts[n + 1]], n)
-    run()
-    last = 3
-
-    ordered = spark.createDataFrame(list(enumerate(log)), "seq bigint, value string")
-    events = parse_auth_events(ordered, AS_OF).cache()
+    events = whole_log(spark, log)
     columns = ("host", "pid", "kind", "user", "source_ip", "port", "auth_method", "invalid_user", "ts")
     assert bag(stream.events.read(), *columns) == bag(events, *columns)
 
     columns = ("pid", "user", "source_ip", "auth_method", "port", "login_time", "logout_time", "duration_seconds")
-    assert bag(stream.sessions.read(), *columns) == bag(sessions.sessions(events, AS_OF), *columns)
-    still = stream.pending.after(last).filter("kind = 'session_opened'")
-    assert bag(still.select("pid", "user", F.col("ts").alias("login_time")), "pid", "user", "login_time") == bag(
-        sessions.open_sessions(events), "pid", "user", "login_time"
-    )
+    assert bag(stream.sessions, *columns) == bag(sessions.sessions(events, AS_OF), *columns)
+    columns = ("pid", "user", "login_time")
+    assert bag(stream.open_sessions(), *columns) == bag(sessions.open_sessions(events), *columns)
 
-    columns = ("timestamp", "user", "source_ip", "port", "type", "invalid_user")
     failed = failures.failed_attempts(events)
-    got = stream.all_attempts(last)
-    assert bag(got, *columns) == bag(failed, *columns)
+    assert bag(stream.all_attempts(), *ATTEMPT) == bag(failed, *ATTEMPT)
 
     registry = labels.label_registry(events, AS_OF, CAPS).stored()
     columns = ("dimension", "value", "display", "position")
-    assert bag(stream.label_registry(last).rows, *columns) == bag(registry.rows, *columns)
+    assert bag(stream.label_registry().rows, *columns) == bag(registry.rows, *columns)
 
-    counters = stream.counters.after(last)
+    counters = stream.counts()
     for metric, want in (
         ("ssh_logins_total", metrics.logins(events, registry)),
         ("ssh_logouts_total", metrics.logouts(events, registry)),
@@ -87,6 +80,67 @@ def test_stream_equals_batch(spark, log, tmp_path):
         assert bag(counters.filter(F.col("metric") == metric), *want.columns) == bag(want, *want.columns)
 
 
+def line(pid, second, text):
+    return f"Jan  1 00:00:{second:02d} host sshd[{pid}]: {text}"
+
+
+def test_a_batch_touches_its_own_keys(spark, tmp_path):
+    """A thousand rows of one process id between others: a few edges reach the state, for one key."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    first = [line(p, 0, f"Accepted password for u{p} from 10.0.0.1 port 1 ssh2") for p in range(50)]
+    hot = [line(7, 1, "pam_unix(sshd:session): session opened for user u7(uid=1) by (uid=0)")]
+    for k in range(500):
+        hot.append(line(7, 2, "pam_unix(sshd:session): session closed for user u7"))
+        hot.append(line(7, 3, "pam_unix(sshd:session): session opened for user u7(uid=1) by (uid=0)"))
+        hot.append(line(7, 3, "Invalid user ghost from 10.0.0.9"))
+    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF)
+    place(landing, "seg-0", first, 0)
+    stream.run(read_segments(spark, str(landing)))
+    place(landing, "seg-1", hot, 1)
+    stream.run(read_segments(spark, str(landing)))
+    edges = spark.read.parquet(f"{stream.edges}/{1:010d}").filter("part <> 'batch'")
+    assert {r.pid for r in edges.collect()} == {"7"} and edges.count() < 10
+    assert stream.sessions.count() == 500
+    assert stream.sessions.filter("source_ip = '10.0.0.1'").count() == 1
+    assert {r.pid for r in stream.state("accept").collect()} == {str(p) for p in range(50)} - {"7"}
+    assert stream.all_attempts().count() == 250
+
+
+def test_repetition_two_batches_later(spark, tmp_path):
+    """A held report gets its port from a report two micro-batches on; other process ids change nothing."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    lots = [
+        [line(1, 0, "Invalid user ghost from 10.0.0.1"), line(2, 0, "Invalid user ghost from 10.0.0.1")],
+        [line(3, 1, "Invalid user ghost from 10.0.0.1")],
+        [line(1, 2, "Failed password for invalid user ghost from 10.0.0.1 port 4711 ssh2")],
+        [line(1, 3, "Invalid user ghost from 10.0.0.1"), line(2, 3, "Failed password for invalid user other from 10.0.0.1 port 5 ssh2")],
+    ]
+    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF)
+    written = []
+    for n, lot in enumerate(lots):
+        place(landing, f"seg-{n}", lot, n)
+        stream.run(read_segments(spark, str(landing)))
+        written.append(sorted((r.user, r.port) for r in stream.failed_attempts().collect()))
+    assert written == [[], [], [("ghost", "4711")], [("ghost", ""), ("ghost", "4711")]]
+    events = whole_log(spark, sum(lots, []))
+    assert bag(stream.all_attempts(), *ATTEMPT) == bag(failures.failed_attempts(events), *ATTEMPT)
+    counters = {r.metric: r.n for r in stream.counts().groupBy("metric").agg(F.sum("value").alias("n")).collect()}
+    assert counters["ssh_failed_logins_total"] == stream.all_attempts().count() == 5
+
+
+def test_repeated_batch_changes_nothing(spark, log, tmp_path):
+    """A micro-batch run again after a failure leaves the tables and the edges as they were."""
+    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF)
+    lines = spark.createDataFrame(list(enumerate(log[:400])), "seq bigint, value string")
+    stream.process(lines, 0)
+    before = {f.name for f in (tmp_path / "out" / "edges").rglob("*.parquet")}
+    stream.process(lines, 0)
+    assert {f.name for f in (tmp_path / "out" / "edges").rglob("*.parquet")} == before
+    assert stream.events.read().count() == whole_log(spark, log[:400]).count()
+
+
 def test_running_counters_in_the_state_store(spark, log, tmp_path):
     """The one-pass counters are an ordinary streaming aggregation."""
     landing = tmp_path / "in"
@@ -105,19 +159,27 @@ def test_running_counters_in_the_state_store(spark, log, tmp_path):
     assert bag(spark.table("counters"), *want.columns) == bag(want, *want.columns)
 
 
-def test_pending_limits(spark, tmp_path):
-    """The oldest unused accept and the oldest held report go first."""
-    lines = [f"Jan  1 00:00:0{i} host sshd[{i}]: Accepted password for u from 10.0.0.1 port 1 ssh2" for i in range(3)]
-    lines += [f"Jan  1 00:00:0{i} host sshd[1{i}]: Invalid user g from 10.0.0.1" for i in range(3)]
-    df = spark.createDataFrame(list(enumerate(lines)), "seq bigint, value string")
-    stream = AuthLogStream(spark, str(tmp_path), AS_OF, max_pending=2)
-    stream.process(df, 0)
-    assert sorted(r.pid for r in stream.pending.after(0).collect()) == ["1", "2"]
-    assert sorted(r.pid for r in stream.held.after(0).collect()) == ["11", "12"]
-    assert stream.failed.read().count() == 1
-    aged = AuthLogStream(spark, str(tmp_path / "aged"), AS_OF, max_age="1 SECOND")
-    aged.process(df, 0)
-    assert sorted(r.pid for r in aged.pending.after(0).collect()) == ["1", "2"]
+def test_age_limit(spark, tmp_path):
+    """With the shortest age an accept serves its own batch only, and a report is written one batch on."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    opened = "pam_unix(sshd:session): session opened for user u(uid=1) by (uid=0)"
+    closed = "pam_unix(sshd:session): session closed for user u"
+    accepted = "Accepted password for u from 10.0.0.1 port 1 ssh2"
+    failed = "Failed password for invalid user g from 10.0.0.1 port 9 ssh2"
+    lots = [
+        [line(1, 0, accepted), line(2, 0, accepted), line(2, 1, opened), line(5, 0, "Invalid user g from 10.0.0.1")],
+        [line(1, 2, opened), line(9, 2, "Invalid user h from 10.0.0.1")],
+        [line(1, 3, closed), line(2, 3, closed), line(5, 3, failed)],
+    ]
+    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF, max_age="1 MILLISECOND")
+    for n, lot in enumerate(lots):
+        place(landing, f"seg-{n}", lot, n)
+        stream.run(read_segments(spark, str(landing)))
+    assert {r.pid: r.source_ip for r in stream.sessions.collect()} == {"1": "", "2": "10.0.0.1"}
+    got = sorted((r.user, r.port) for r in stream.all_attempts().collect())
+    assert got == [("g", ""), ("g", "9"), ("h", "")]
+    assert ("h", "") in [(r.user, r.port) for r in stream.failed_attempts().collect()]
 
 
 def test_snapshot_gauges_stay(spark, tmp_path):
