@@ -164,16 +164,26 @@ def _source_details(i: Inputs) -> DataFrame:
     )
 
 
-def _ingest_files(i: Inputs) -> DataFrame:
-    """Report of rotated files; how many lines a cut file still gives is left out."""
-    report = logs.ingest_report(logs.read_logs(i.spark, i.rotated), is_recognised("value"), logs.list_logs(i.spark, i.rotated))
+def _report(i: Inputs, folder: str) -> DataFrame:
+    """Report of the files of a folder by name; how many lines a damaged file still gives is left out."""
+    lines, files = logs.read_logs(i.spark, folder, recursive=True), logs.list_logs(i.spark, folder, recursive=True)
+    by_name = logs.ingest_report(lines, is_recognised("value"), files).groupBy("file_name").agg(
+        F.sum("lines").alias("lines"), F.sum("auth_lines").alias("auth_lines"), F.min("status").alias("status")
+    )
     sound = F.col("status") == "ok"
-    return report.select("file_name", F.when(sound, F.col("lines")).alias("lines"), F.when(sound, F.col("auth_lines")).alias("auth_lines"), "status")
+    return by_name.select("file_name", *[F.when(sound, F.col(c)).alias(c) for c in ("lines", "auth_lines")], "status")
+
+
+def _ingest_damage(i: Inputs) -> DataFrame:
+    folder = f"{checkpoint_folder(i.spark)}/damaged-{uuid.uuid4().hex}"
+    rotated.write_damaged(i.spark, i.rotated, "auth.log.4.gz", folder)
+    return _report(i, folder)
 
 
 _add(
-    ingest_files=_ingest_files,
-    scan_rotated=lambda i: logs.read_logs(i.spark, i.rotated)
+    ingest_files=lambda i: _report(i, i.rotated),
+    ingest_damage=_ingest_damage,
+    scan_rotated=lambda i: logs.read_logs(i.spark, i.rotated, recursive=True)
     .filter(F.col("file_name") != rotated.DAMAGED)
     .select("file_name", "value"),
     ingest_report=lambda i: logs.ingest_report(i.lines, is_recognised("value")),

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# gzip files up to this size are checked to their end; pieces in which that is done
-CHECKED_BYTES, PIECE_BYTES = 256 * 2**20, 2**20
+from .integrity import DAMAGED, UNREADABLE, LogFiles
 
 
 def _name_filter(log_file: str) -> str:
@@ -66,80 +62,42 @@ def read_logs(
     )
 
 
-def gzip_is_whole(data: bytes) -> bool:
-    """Whether gzip data decompresses to its end, piece by piece; members may follow each other."""
-    at, member = 0, zlib.decompressobj(wbits=31)
-    try:
-        while at < len(data):
-            piece = data[at : at + PIECE_BYTES]
-            at += len(piece)
-            while piece:
-                member.decompress(piece)
-                piece = member.unused_data
-                if member.eof and piece.strip(b"\0"):
-                    member = zlib.decompressobj(wbits=31)
-                elif member.eof:
-                    piece = b""
-    except zlib.error:
-        return False
-    return member.eof
-
-
 def list_logs(
     spark: SparkSession, log_dir: str, log_file: str = "auth.log", recursive: bool = False
 ) -> DataFrame:
-    """(file_path, file_name, bytes, state) of the files ``read_logs`` takes.
+    """(file_path, file_name, bytes, state) of the files ``read_logs`` takes, empty ones too.
 
-    Gzip files are decompressed to their end, each by one task: ``whole`` or ``damaged``. Larger
-    ones than a task may hold are ``unchecked``. Other files have no end mark and are ``whole``.
-    Spark's listing leaves out files of zero bytes; they hold no line and get no row.
+    ``state`` is ``whole``, ``damaged`` (a gzip file that does not inflate to its end) or ``unreadable``.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", _name_filter(log_file))
-        .option("recursiveFileLookup", recursive)
-        .load(log_dir)
-    )
-    zipped, small = F.col("path").endswith(".gz"), F.col("length") <= CHECKED_BYTES
-
-    def check(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                state = "whole" if gzip_is_whole(row["content"]) else "damaged"
-                yield pa.RecordBatch.from_pylist([{"path": row["path"], "length": row["length"], "state": state}])
-
-    checked = files.filter(zipped & small).select("path", "length", "content")
-    listed = checked.mapInArrow(check, "path string, length bigint, state string").unionByName(
-        files.filter(~(zipped & small)).select(
-            "path", "length", F.when(zipped, "unchecked").otherwise("whole").alias("state")
-        )
-    )
-    return listed.select(
-        F.col("path").alias("file_path"),
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("bytes"),
-        "state",
-    )
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(log_dir)
+    folder = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    spark.dataSource.register(LogFiles)
+    reader = spark.read.format("log_files").option("path", folder).option("log_file", log_file)
+    return reader.option("recursive", recursive).load()
 
 
 def ingest_report(lines: DataFrame, recognised: Column, files: DataFrame | None = None) -> DataFrame:
     """One row per file: its lines, those recognised (auth_lines), and a status.
 
     Without the listing in ``files`` only names are known and the status is ``unchecked``. With
-    it, files are told apart by path; one that is damaged, or has bytes but gave no line, is
-    ``degraded``, one too large to be checked is ``unchecked``.
+    it, files are told apart by path; one that is damaged or unreadable, or has bytes but gave no
+    line, is ``degraded``.
     """
     counted = [F.count(F.lit(1)).alias("lines"), F.count_if(recognised).alias("auth_lines")]
     if files is None:
         return lines.groupBy("file_name").agg(*counted).withColumn("status", F.lit("unchecked"))
     counts = lines.groupBy("file_path").agg(*counted)
-    lost = (F.col("state") == "damaged") | (F.col("lines").isNull() & (F.col("bytes") > 0))
+    # a gzip file of nothing but head and trailer has bytes and is whole
+    lost = F.col("state").isin(DAMAGED, UNREADABLE) | (
+        F.col("lines").isNull() & (F.col("bytes") > 0) & ~F.col("file_name").endswith(".gz")
+    )
     return files.join(counts, "file_path", "left").select(
         "file_path",
         "file_name",
         F.coalesce("lines", F.lit(0)).alias("lines"),
         F.coalesce("auth_lines", F.lit(0)).alias("auth_lines"),
-        F.when(lost, "degraded").when(F.col("state") == "unchecked", "unchecked").otherwise("ok").alias("status"),
+        F.when(lost, "degraded").otherwise("ok").alias("status"),
     )
 
 

@@ -1,32 +1,39 @@
-"""Writes derived log lines as a folder of rotated files, one of them damaged."""
+"""Writes derived log lines as folders of rotated files, some of them damaged."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DAMAGED = "auth.log.2.gz"
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    return context, path, path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def write_rotated(lines: DataFrame, folder: str) -> None:
     """lines (value, file_name, seq) as files of their names; every second rotated one is zipped.
 
-    Each file is written by one task in order of ``seq``, as a rotated file is: its size is that
-    of a day's log on one machine.
+    Tasks write ranges of (file_name, seq), so that a day's lines may fill several files of bounded
+    size; the second and further ones of a name lie in folders of their own, as those of other machines do.
     """
-    context = lines.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    context, path, files = _hadoop(lines.sparkSession, folder)
     rank = F.try_element_at(F.split("file_name", r"\."), F.lit(3)).try_cast("int")
     zipped = F.coalesce(rank % 2 == 0, F.lit(False))
     for codec, part in (("gzip", lines.filter(zipped)), ("none", lines.filter(~zipped))):
         staged = f"{folder}/.staged-{codec}"
-        rows = part.repartition("file_name").sortWithinPartitions("file_name", "seq").select("file_name", "value")
-        rows.write.partitionBy("file_name").option("compression", codec).text(staged)
+        rows = part.repartitionByRange("file_name", "seq").sortWithinPartitions("file_name", "seq")
+        rows.select("file_name", "value").write.partitionBy("file_name").option("compression", codec).text(staged)
         for day in files.listStatus(path(staged)):
             if day.isDirectory():
                 name = day.getPath().getName().removeprefix("file_name=") + (".gz" if codec == "gzip" else "")
-                for file in files.listStatus(day.getPath()):
-                    files.rename(file.getPath(), path(f"{folder}/{name}"))
+                written = sorted((f.getPath() for f in files.listStatus(day.getPath())), key=lambda p: p.getName())
+                for n, file in enumerate(written):
+                    home = folder if n == 0 else f"{folder}/more-{n}"
+                    files.mkdirs(path(home))
+                    files.rename(file, path(f"{home}/{name}"))
         files.delete(path(staged), True)
     damaged = path(f"{folder}/{DAMAGED}")
     if files.exists(damaged):
@@ -37,3 +44,27 @@ def write_rotated(lines: DataFrame, folder: str) -> None:
         source.close()
         target.close()
         files.delete(whole, False)
+
+
+def write_damaged(spark: SparkSession, rotated: str, source: str, folder: str) -> None:
+    """A folder of files made from the gzip file ``source`` of ``rotated`` and its lines as they are in a plain
+    one: two members (1.gz), cut short (2.gz), followed by other bytes (3.gz), no gzip at all (4.gz), no bytes (5, 6.gz)."""
+    context, path, files = _hadoop(spark, folder)
+    whole = path(f"{rotated}/{source}")
+    size = files.getFileStatus(whole).getLen()
+    copy = context._jvm.org.apache.commons.io.IOUtils.copyLarge
+
+    def write(name: str, *parts: tuple) -> None:
+        out = files.create(path(f"{folder}/{name}"), True)
+        for start, length in parts:
+            stream = files.open(whole)
+            copy(stream, out, start, length)
+            stream.close()
+        out.close()
+
+    write("auth.log.1.gz", (0, size), (0, size))
+    write("auth.log.2.gz", (0, size // 2))
+    write("auth.log.3.gz", (0, size), (5, size // 2))
+    write("auth.log.4.gz", (5, size // 2))
+    write("auth.log.5")
+    write("auth.log.6.gz")

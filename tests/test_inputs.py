@@ -13,7 +13,8 @@ from loginlake.functions.timestamps import parse_time_argument, within
 from loginlake.operators import enrich, failures, labels, metrics, sessions
 from loginlake.operators.parse import is_recognised, parse_auth_events
 from loginlake.plans import reports, tables
-from loginlake.sources import logs, who
+from loginlake.sources import integrity, logs, who
+from loginlake.sources.files import filesystem
 
 AS_OF = "2026-03-20"
 
@@ -346,6 +347,37 @@ def test_damaged_and_missing_files(spark, tmp_path):
         logs.read_logs(spark, str(tmp_path), tolerant=False).count()
 
 
+def test_gzip_in_pieces():
+    """Members, padding and damage at every cut of the data into pieces; large zeros inflate in bounds."""
+    one = gzip.compress(b"line\n" * 1000)
+    cases = [
+        (one, True), (one + one, True), (one + bytes(700), True), (one + bytes(9) + one, True), (b"", True),
+        (gzip.compress(b""), True), (one[:-1], False), (one[:20], False), (one + one[:-1], False), (one + b"x", False),
+        (b"no gzip", False), (one[:30] + b"\xff\xff\xff" + one[33:], False), (bytes(3), False),
+        (gzip.compress(bytes(9_000_000)), True),
+    ]
+    for data, whole in cases:
+        for size in (1, 7, len(one), 1 << 20):
+            pieces = [data[k:k + size] for k in range(0, len(data), size)]
+            assert integrity.gzip_is_whole(pieces) is whole, (data[:20], len(data), size)
+
+
+def test_empty_and_odd_files(spark, tmp_path):
+    home = tmp_path / "a host [1]%"
+    home.mkdir()
+    (home / "auth.log").write_text(head("Invalid user kim from 10.1.0.1") + "\n")
+    (home / "auth.log.1").write_text("")
+    (home / "auth.log.2.gz").write_bytes(b"")
+    (home / "auth.log.3.gz").write_bytes(gzip.compress(b""))
+    (home / "other").write_text("x")
+    lines = logs.read_logs(spark, str(tmp_path), recursive=True)
+    files = logs.list_logs(spark, str(tmp_path), recursive=True)
+    report = logs.ingest_report(lines, is_recognised("value"), files).collect()
+    assert {r.file_name: (r.lines, r.status) for r in report} == {
+        "auth.log": (1, "ok"), "auth.log.1": (0, "ok"), "auth.log.2.gz": (0, "ok"), "auth.log.3.gz": (0, "ok")}
+    assert integrity.file_state(*filesystem(str(home / "gone.gz"))) == "unreadable"
+
+
 def test_hosts_with_equal_file_names_stay_apart(spark, tmp_path):
     good = gzip.compress((head("Invalid user kim from 10.1.0.1") + "\n").encode())
     for host, data in (("h1", good + good), ("h2", good[:-3]), ("h3", b"no gzip at all")):
