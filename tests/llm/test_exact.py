@@ -194,21 +194,60 @@ def test_secret_rules_and_redaction(spark):
 
 def test_lines(spark, tables):
     where, docs = tables
-    seen, expected = {}, []
-    rank = lambda r: (r[0] is None, r[0] or 0)
+    rank = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    first, holders = {}, {}
     for i, t in sorted(set(docs), key=rank):
         for start, _, unit in line_dedup.units(t or ""):
-            if len(unit.split(" ")) >= line_dedup.MIN_WORDS:
-                seen.setdefault(unit, (i, start))
+            first.setdefault(unit, (i, t, start))
+            holders.setdefault(unit, set()).add((i, t))
+    expected = []
     for i, t in docs:
-        lines = line_dedup.units(t or "")
-        gone = [
-            (a, b) for a, b, u in lines if len(u.split(" ")) >= line_dedup.MIN_WORDS and seen[u] != (i, a)
-        ]
-        kept = "\n".join(t[a:b] for a, b, _ in lines if (a, b) not in gone) if t else ""
-        if gone:
-            expected.append((i, len(lines), len(gone), ",".join(f"{a}:{b}" for a, b in gone), sha(kept.encode())))
-    assert order(map(tuple, catalog.queries()["op2_line_dedup"](spark, where).collect())) == order(expected)
+        found = line_dedup.units(t or "")
+        marks = [len(holders[u]) > 1 for *_, u in found]
+        n = 0
+        chosen = []
+        while n < len(found):
+            end = n
+            while end < len(found) and marks[end]:
+                end += 1
+            if sum(len(u.split(" ")) for *_, u in found[n:end]) >= line_dedup.MIN_WORDS:
+                chosen += found[n:end]
+            n = max(end, n + 1)
+        if not chosen:
+            continue
+        gone = [(a, b) for a, b, u in chosen if first[u] != (i, t, a)]
+        kept = "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in gone))
+        spans = ",".join(f"{a}:{b}" for a, b in gone)
+        expected.append((i, len(found), len(chosen), first[chosen[0][2]][0], len(gone), spans, sha(kept.encode())))
+    got = list(map(tuple, catalog.queries()["op2_line_dedup"](spark, where).collect()))
+    assert order(got) == order(expected) and any(r[4] for r in got) and any(not r[4] for r in got)
+
+
+def test_runs_of_sentences(spark):
+    """Runs go on over line ends and blank pieces, short ones and repeats inside one document stay."""
+    shared = " ".join(f"word{k}" for k in range(14))
+    rows = [
+        (1, f"Own start. {shared}.\n\n{shared} too.\nOwn end."),
+        (2, f"Other start. {shared}. ... \n{shared} too.\nOther end."),
+        (3, f"{shared}.\nAlone."),
+        (4, "\n".join(["This line repeats inside one document only and has many words."] * 9)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: r for r in line_dedup.drop_repeated(docs, min_words=28).collect()}
+    assert [got[i].n_repeated for i in (1, 2, 3, 4)] == [2, 0, 0, 0]
+    got = {r.id: r for r in line_dedup.drop_repeated(docs, min_words=14).collect()}
+    assert [got[i].n_repeated for i in (1, 2, 3, 4)] == [2, 2, 1, 0]
+    assert got[1].kept == rows[0][1] and got[2].kept == "Other start. ... \n\nOther end." and got[3].kept == "\nAlone."
+    assert [got[i].first_id for i in (1, 2, 3, 4)] == [1, 1, 1, None]
+
+
+def test_rows_without_id_stay_apart(spark):
+    """Texts are told apart by 128 bits; equal rows are one document."""
+    shared = " ".join(f"w{k}" for k in range(40)) + "."
+    rows = [(None, shared + " Mine."), (None, shared + " Yours."), (None, shared + " Yours."), (None, "Only here. " * 3)]
+    got = line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(len(r.removed) for r in got) == [0, 0, 1, 1] or sorted(len(r.removed) for r in got) == [0, 0, 0, 1]
+    assert len(got) == 4
 
 
 def test_pseudonyms():
