@@ -127,11 +127,16 @@ def logins_by_hour(events: DataFrame) -> DataFrame:
 
 def login_heatmap(events: DataFrame) -> DataFrame:
     """(day_of_week, hour, value) for all 168 hours of a week."""
-    spark = events.sparkSession
+    return heatmap_of(logins_by_hour(events))
+
+
+def heatmap_of(cells: DataFrame) -> DataFrame:
+    """All hours of a week with the counts of ``cells`` (weekday, hour, n)."""
+    spark = cells.sparkSession
     grid = spark.range(7 * 24).select(
         F.expr("cast(id div 24 as int)").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour")
     )
-    counts = F.broadcast(logins_by_hour(events))  # 168 rows at most
+    counts = F.broadcast(cells)  # 168 rows at most
     return grid.join(counts, ["weekday", "hour"], "left").select(
         day_name(F.col("weekday")).alias("day_of_week"),
         F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour"),
@@ -248,6 +253,24 @@ def event_counters(events: DataFrame, registry: LabelRegistry | None = None) ->
     return rows.groupBy("metric", *_COUNTER_LABELS).agg(F.count(F.lit(1)).alias("value"))
 
 
+def counter_samples(counters: DataFrame) -> DataFrame:
+    """Counters (metric, labels, value) as samples."""
+    return _samples(counters, F.col("metric"), "counter", _COUNTER_LABELS)
+
+
+def gauge_samples(histogram: DataFrame, users: DataFrame, heatmap: DataFrame) -> list[DataFrame]:
+    """Duration histogram, number of users and heatmap as samples."""
+    bucket = F.col("series") == "bucket"
+    histogram = histogram.withColumns(
+        {"metric": F.concat(F.lit("ssh_session_duration_seconds_"), "series"), "le": F.when(bucket, F.col("le"))}
+    )
+    return [
+        _samples(histogram, F.col("metric"), "histogram", ["user", "le"]),
+        _samples(users, "ssh_unique_users_total", "gauge", []),
+        _samples(heatmap, "ssh_login_heatmap", "gauge", ["day_of_week", "hour"]),
+    ]
+
+
 def metric_samples(
     events: DataFrame,
     sessions: DataFrame,
@@ -259,18 +282,11 @@ def metric_samples(
 ) -> DataFrame:
     """All metric families as (metric, type, labels, value) rows."""
     user_source = ["user", "source_ip", "source_display"]
-    histogram = duration_histogram(sessions, registry)
-    bucket = F.col("series") == "bucket"
-    histogram = histogram.withColumns(
-        {"metric": F.concat(F.lit("ssh_session_duration_seconds_"), "series"), "le": F.when(bucket, F.col("le"))}
-    )
     frames = [
-        _samples(event_counters(events, registry), F.col("metric"), "counter", _COUNTER_LABELS),
+        counter_samples(event_counters(events, registry)),
         _samples(failed_logins(failed, registry), "ssh_failed_logins_total", "counter", user_source),
         _samples(invalid_user_attempts(failed, registry), "ssh_invalid_user_attempts_total", "counter", user_source),
-        _samples(histogram, F.col("metric"), "histogram", ["user", "le"]),
-        _samples(unique_user_count(events), "ssh_unique_users_total", "gauge", []),
-        _samples(login_heatmap(events), "ssh_login_heatmap", "gauge", ["day_of_week", "hour"]),
+        *gauge_samples(duration_histogram(sessions, registry), unique_user_count(events), login_heatmap(events)),
     ]
     if active is not None:
         names = snapshot_registry if snapshot_registry is not None else registry

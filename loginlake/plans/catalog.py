@@ -99,6 +99,12 @@ class Inputs:
     def events(self):
         return parse_auth_events(self.lines, AS_OF)
 
+    def parse_once(self) -> None:
+        """Stores the events, for queries whose plan reads them more than once."""
+        folder = f"{checkpoint_folder(self.spark)}/events-{uuid.uuid4().hex}"
+        self.events.drop("line").write.parquet(folder)
+        self.events = self.spark.read.schema(self.events.drop("line").schema).parquet(folder)
+
     @cached_property
     def sessions(self):
         return correlation.sessions(self.events, AS_OF)
@@ -250,12 +256,13 @@ _add(
     r_failed=lambda i: reports.failed_history(i.failed),
     history_range=lambda i: reports.session_history(i.sessions, 150, START, END),
     failed_range=lambda i: reports.failed_history(i.failed, 300, START, END),
-    history_json=lambda i: reports.json_rows(reports.session_history(i.sessions), "close_seq"),
+    history_json=lambda i: reports.session_json(reports.session_history(i.sessions)),
+    failed_json=lambda i: reports.failed_json(reports.failed_history(i.failed)),
     r_history_trimmed=lambda i: reports.session_history(i.sessions, 500, START, END, max_history=600),
     r_summary=lambda i: reports.summary(i.sessions, i.failed, i.users),
     r_logins_per_user=lambda i: reports.logins_per_user(i.sessions),
     r_top_ips=lambda i: reports.top_values(i.sessions, "source_ip"),
-    r_top_sources=lambda i: reports.top_values(enrich.enrich_hosts(i.sessions, i.ptr), "source_display"),
+    r_top_sources=lambda i: reports.top_sources(i.sessions, i.ptr),
     r_unique_users=lambda i: reports.unique_user_names(i.users),
     r_heatmap=lambda i: reports.heatmap(i.events),
     r_heatmap_range=lambda i: reports.heatmap(i.events, START, END),
@@ -290,24 +297,48 @@ _add(
     stream_failed=lambda i: i.log_stream.all_attempts(),
     stream_counters=lambda i: i.log_stream.counts(),
     stream_registry=lambda i: i.log_stream.label_registry().rows,
+    stream_histogram=lambda i: i.log_stream.histogram(),
+    stream_heatmap=lambda i: i.log_stream.heatmap(),
+    stream_unique_users=lambda i: i.log_stream.unique_users(),
+    stream_samples=lambda i: _labels_as_text(i.log_stream.samples.read_batches([i.log_stream.last_batch()])),
     stream_bounded=lambda i: i.bounded_stream.sessions.drop("close_user"),
     stream_active=_stream_active,
     stream_online=_stream_online,
 )
 
 
+def _labels_as_text(samples: DataFrame) -> DataFrame:
+    pairs = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    text = F.array_join(F.array_sort(pairs), ",").alias("labels")
+    return samples.select("metric", "type", text, "value", *[c for c in samples.columns if c == "sample_time"])
+
+
 @_query("metric_samples")
 def _metric_samples(i: Inputs) -> DataFrame:
     """All families; the label map is written as text, as maps do not compare."""
     samples = metrics.metric_samples(
         i.events, i.sessions, i.failed, i.registry, i.snapshots, i.active, i.snapshot_registry
     )
-    pairs = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return samples.select("metric", "type", F.array_join(F.array_sort(pairs), ",").alias("labels"), "value")
+    return _labels_as_text(samples)
+
+
+# queries with several branches over the events; the others parse within their only branch
+_SEVERAL = {
+    "invalid_dedup", "invalid_port_backfill", "failed_attempts", "m_failed_raw", "m_logins", "m_logouts", "m_failed",
+    "m_failed_bounded", "m_invalid", "m_active", "m_duration_hist", "m_preauth", "m_user_online", "q_active_total",
+    "q_failed_1h", "q_failed_1h_sliding", "label_registry", "label_display", "m_logins_full_pinned", "r_failed",
+    "failed_range", "failed_json", "r_summary", "enrich_hosts", "metric_samples",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def run(build):
-        return lambda spark, sf_dir: build(Inputs(spark, sf_dir))
+    def run(name, build):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            inputs = Inputs(spark, sf_dir)
+            if name in _SEVERAL:
+                inputs.parse_once()
+            return build(inputs)
+
+        return query
 
-    return {name: run(build) for name, build in _QUERIES.items()}
+    return {name: run(name, build) for name, build in _QUERIES.items()}

@@ -289,7 +289,7 @@ def _display(name: str, ip: str) -> str:
     return f"CASE WHEN coalesce({name}, '') = '' THEN {ip} ELSE {name} || ' (' || {ip} || ')' END"
 
 
-def _samples_sql() -> str:
+def _samples_sql(snapshots: bool = True) -> str:
     def label(*names):
         return " || ',' || ".join(f"'{n}=' || \"{n}\"" for n in sorted(names)) if names else "''"
 
@@ -317,9 +317,11 @@ def _samples_sql() -> str:
         hist,
         rows("ssh_unique_users_total", "gauge", f"SELECT count(*) AS value FROM ({_US})"),
         rows("ssh_login_heatmap", "gauge", _HEAT, "day_of_week", "hour"),
-        rows("ssh_active_sessions", "gauge", _GAUGE, *us),
-        rows("ssh_user_online", "gauge", _ONLINE, "user"),
     ]
+    if not snapshots:
+        all_rows = "\nUNION ALL ".join(parts)
+        return _with(f"SELECT *, (SELECT max(ts) FROM a) AS sample_time FROM ({all_rows})", _EVENTS, _SESSIONS, _FAILED)
+    parts += [rows("ssh_active_sessions", "gauge", _GAUGE, *us), rows("ssh_user_online", "gauge", _ONLINE, "user")]
     return _with("\nUNION ALL ".join(parts), _EVENTS, _SESSIONS, _FAILED, _WHO)
 
 
@@ -447,6 +449,10 @@ def oracle_sql() -> dict[str, str]:
             count(*) AS value FROM a JOIN ({_FIRST_DISPLAY}) n ON n.value = a.ip WHERE kind = 'accepted' GROUP BY ALL""",
             _EVENTS, _PTR),
         "stream_sessions": _with(f"SELECT {_SESSION_COLS} FROM s", *sf),
+        "stream_histogram": _with(_HIST, *sf),
+        "stream_heatmap": _with(_HEAT, _EVENTS),
+        "stream_unique_users": _with(f"SELECT count(*) AS value FROM ({_US})", _EVENTS),
+        "stream_samples": _samples_sql(snapshots=False),
         "stream_events": _with(
             """SELECT seq, 'host' AS host, pid, kind, u AS "user", ip AS source_ip, port, ts FROM a""", _EVENTS),
         "stream_bounded": _with(f"SELECT {_SESSION_COLS} FROM s", _EVENTS, _SESSIONS.replace(
@@ -464,12 +470,15 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {_SESSION_COLS} FROM s WHERE logout_time {_RANGE} ORDER BY close_seq DESC LIMIT 150", *sf),
         "failed_range": _with(f"SELECT {_FAILED_COLS} FROM f WHERE ts {_RANGE} ORDER BY seq DESC LIMIT 300", *ff),
         "history_json": _with(
-            f"""SELECT CAST(to_json(struct_pack(host := host, pid := pid, "user" := u, source_ip := ip,
+            f"""SELECT CAST(to_json(struct_pack(pid := pid, "user" := u, source_ip := ip,
             source_hostname := '', source_display := ip, auth_method := method, port := port,
             login_time := strftime(login_time, '%Y-%m-%dT%H:%M:%S'),
-            logout_time := strftime(logout_time, '%Y-%m-%dT%H:%M:%S'), duration_seconds := secs,
-            open_seq := open_seq, close_seq := close_seq)) AS VARCHAR) AS value, close_seq
+            logout_time := strftime(logout_time, '%Y-%m-%dT%H:%M:%S'), duration_seconds := secs)) AS VARCHAR) AS value, close_seq
             FROM s ORDER BY close_seq DESC LIMIT 200""", *sf),
+        "failed_json": _with(
+            f"""SELECT CAST(to_json(struct_pack(timestamp := strftime(ts, '%Y-%m-%dT%H:%M:%S'), "user" := u, source_ip := ip,
+            source_hostname := '', source_display := ip, port := port, type := type)) AS VARCHAR) AS value, seq
+            FROM f ORDER BY seq DESC LIMIT 200""", *ff),
         "r_history_trimmed": _with(
             f"SELECT {_SESSION_COLS} FROM {trimmed} WHERE logout_time {_RANGE} ORDER BY close_seq DESC LIMIT 500", *sf),
         "r_summary": _with(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.arguments import report_limit
 from ..functions.sources import or_else
 from ..functions.timestamps import iso_text, within
+from ..operators.enrich import enrich_hosts
 from ..operators.metrics import day_name, latest_snapshot, logins_by_hour
 from ..schemas import TOP_SOURCES
 
@@ -103,11 +104,39 @@ def users_status(users: DataFrame, active: DataFrame, snapshots: DataFrame) -> D
     )
 
 
+SESSION_FIELDS = (
+    "pid", "user", "source_ip", "source_hostname", "source_display", "auth_method", "port", "login_time", "logout_time",
+    "duration_seconds",
+)
+FAILED_FIELDS = ("timestamp", "user", "source_ip", "source_hostname", "source_display", "port", "type")
+
+
+def session_json(sessions: DataFrame) -> DataFrame:
+    """(value, close_seq): sessions as JSON texts with the fields a report shows."""
+    return json_rows(sessions.select(*SESSION_FIELDS, "close_seq"), "close_seq")
+
+
+def failed_json(failed: DataFrame) -> DataFrame:
+    """(value, seq): failed attempts as JSON texts with the fields a report shows."""
+    return json_rows(failed.select(*FAILED_FIELDS, "seq"), "seq")
+
+
+def top_sources(sessions: DataFrame, ptr: DataFrame, n: int = TOP_SOURCES, max_history: int | None = None) -> DataFrame:
+    """Most frequent source names: sessions are counted by address, names joined to the counts."""
+    rows = retained(sessions, "close_seq", max_history)
+    address = [c for c in ("source_ip", "source_hostname", "source_display") if c in rows.columns]
+    counts = rows.groupBy(*address).agg(F.count(F.lit(1)).alias("n"), F.min("close_seq").alias("first"))
+    shown = enrich_hosts(counts, ptr).filter(F.col("source_display") != "")
+    names = shown.groupBy("source_display").agg(F.sum("n").alias("sessions"), F.min("first").alias("_first"))
+    return names.orderBy(F.col("sessions").desc(), "_first").limit(n).drop("_first")
+
+
 def json_rows(report: DataFrame, order: str | None = None) -> DataFrame:
-    """One JSON text per row: dates in ISO form, missing values kept as null."""
+    """One JSON text per row, without the column ``order``: dates in ISO form, missing values kept as null."""
     columns = [
         iso_text(F.col(f.name)).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.col(f.name)
         for f in report.schema
+        if f.name != order
     ]
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     return report.select(text.alias("value"), *([order] if order else []))

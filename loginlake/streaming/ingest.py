@@ -100,6 +100,8 @@ class AuthLogStream:
             table(n) for n in ("settled", "edge_sessions", "edge_failed_attempts")
         )
         self.registry, self.counters = state("registry"), state("counters")
+        self.durations, self.hours, self.totals = state("durations"), state("hours"), state("totals")
+        self.new_users, self.samples = table("new_users"), table("samples")
         # results of the window jobs, which several outputs of a batch are made from
         self.chunks, self.reports = state("chunks"), state("reports")
 
@@ -190,7 +192,7 @@ class AuthLogStream:
         if not batches:  # only timers went off
             if written is not None:
                 self.edge_failed.write(written, batch_id)
-            for state in (self.registry, self.counters):
+            for state in (self.registry, self.counters, self.durations, self.hours, self.totals):
                 state.write(state.after(batch_id - 1), batch_id)
             return
         finished = self.edge_sessions.write(sessions, batch_id).unionByName(self.inner_sessions.read_batches(batches))
@@ -202,6 +204,8 @@ class AuthLogStream:
         events = self.events.read_batches(batches)
         self._registry(events, finished, batch_id)
         self._counters(events, counted, batch_id)
+        self._gauges(events, finished, batch_id)
+        self._samples(events, batch_id)
 
     def _leading(self, out: DataFrame, batches: list[int]) -> DataFrame:
         """Reports of the runs that chunks begin with; a carried report comes before them."""
@@ -317,6 +321,52 @@ class AuthLogStream:
         self.counters.write(total, batch_id)
 
 
+    @staticmethod
+    def _added(state: CarriedState, rows: DataFrame, batch_id: int, value: str) -> None:
+        """Adds a batch's rows to sums kept per their other columns."""
+        before = state.before(batch_id)
+        both = rows if before is None else rows.unionByName(before)
+        state.write(both.groupBy(*[c for c in rows.columns if c != value]).agg(F.sum(value).alias(value)), batch_id)
+
+    def _gauges(self, events: DataFrame, finished: DataFrame, batch_id: int) -> None:
+        """Sums that only grow: duration buckets, login hours, and the number of users.
+
+        The users themselves stay where they came first; a batch looks its own up and adds the new ones.
+        """
+        names = self.label_registry(batch_id)
+        self._added(self.durations, metrics.duration_histogram(finished, names), batch_id, "value")
+        self._added(self.hours, metrics.logins_by_hour(events), batch_id, "n")
+        users = metrics.unique_users(events)
+        there = set(names_in(self.spark, self.new_users.path))
+        earlier = [n for n in range(batch_id) if f"batch_id={n}" in there]
+        if earlier:
+            users = users.join(self.new_users.read_batches(earlier), "user", "left_anti")
+        fresh = self.new_users.write(users, batch_id)
+        count = fresh.agg(F.count(F.lit(1)).alias("value")).withColumn("name", F.lit("users"))
+        self._added(self.totals, count, batch_id, "value")
+
+    def histogram(self, batch_id: int | None = None) -> DataFrame:
+        """(user, series, le, value): buckets, sum and count of durations so far."""
+        return self.durations.after(self.last_batch() if batch_id is None else batch_id)
+
+    def heatmap(self, batch_id: int | None = None) -> DataFrame:
+        return metrics.heatmap_of(self.hours.after(self.last_batch() if batch_id is None else batch_id))
+
+    def unique_users(self, batch_id: int | None = None) -> DataFrame:
+        return self.totals.after(self.last_batch() if batch_id is None else batch_id).select("value")
+
+    def _samples(self, events: DataFrame, batch_id: int) -> None:
+        """All families as they stand after the batch, with its newest event's time as sample time.
+
+        They are the batch's own part of the table, which a repeated batch replaces.
+        """
+        rows = metrics.counter_samples(self.counters.after(batch_id))
+        for frame in metrics.gauge_samples(self.histogram(batch_id), self.unique_users(batch_id), self.heatmap(batch_id)):
+            rows = rows.unionByName(frame)
+        newest = events.agg(F.max("ts").alias("t")).scalar()
+        self.samples.write(rows.withColumn("sample_time", newest), batch_id)
+
+
 def _no_events(spark: SparkSession, seq) -> DataFrame:
     return spark.createDataFrame([], auth_events(seq))
 
