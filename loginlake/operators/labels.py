@@ -123,10 +123,32 @@ def _ranked(first_seen: DataFrame, caps: dict[str, int]) -> DataFrame:
     return reduce(DataFrame.unionByName, tops).withColumn("position", F.row_number().over(order))
 
 
+def _earliest(sightings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at): the first sighting of each key in each block of its file or snapshot.
+
+    A block's rows differ in one number only, whose minimum is taken by hashing; what is left are a
+    few rows per key, whose compound orders can be compared.
+    """
+    order = sightings.schema["at"].dataType
+    if not isinstance(order, StructType):
+        return sightings.groupBy(*keys).agg(F.min("at").alias("at"))
+    if "seq" in order.names:
+        *outer, row = (f"at.seq.{n}" for n in order["seq"].dataType.names)
+        number, behind = F.col(row) * 2 + F.col("at.sub"), []
+    else:
+        outer, number, behind = ["at.snapshot"], F.col("at.line"), ["at.name"]
+    names = [f"_{k}" for k in range(len(outer) + len(behind))]
+    flat = sightings.select(*keys, number.alias("_row"), *[F.col(c).alias(n) for c, n in zip(outer + behind, names)])
+    firsts = flat.groupBy(*keys, *names).agg(F.min("_row").alias("_row"))
+    at = F.struct(*names[: len(outer)], "_row", *names[len(outer) :])
+    return firsts.select(*keys, at.alias("at"))
+
+
 def _first_seen(sightings: DataFrame, with_display: bool) -> DataFrame:
-    groups = sightings.groupBy("dimension", "value")
     if not with_display:
+        groups = _earliest(sightings, ["dimension", "value"]).groupBy("dimension", "value")
         return groups.agg(F.min("at").alias("first")).withColumn("display", F.lit(None).cast("string"))
+    groups = _earliest(sightings, ["dimension", "value", "display"]).groupBy("dimension", "value")
     firsts = groups.agg(F.min(F.struct("at", "display")).alias("f"))
     return firsts.select("dimension", "value", F.col("f.at").alias("first"), F.col("f.display").alias("display"))
 

@@ -347,6 +347,21 @@ def test_damaged_and_missing_files(spark, tmp_path):
         logs.read_logs(spark, str(tmp_path), tolerant=False).count()
 
 
+def test_first_sightings_are_hashed(spark, tmp_path):
+    """No sort over raw rows: compound orders are compared after the rows of a file block became one."""
+    for name, users in (("auth.log.1", "cba"), ("auth.log", "abcd")):
+        (tmp_path / name).write_text("".join(head(f"Accepted password for {u} from 10.0.0.1 port 1 ssh2") + "\n" for u in users))
+    events = parse_auth_events(logs.read_logs(spark, str(tmp_path)), AS_OF)
+    for with_display in (False, True):
+        firsts = labels._first_seen(labels.log_sightings(events, AS_OF), with_display)
+        plan = firsts._jdf.queryExecution().sparkPlan().toString().splitlines()
+        kinds = [line.split("(")[0].strip(" :+-") for line in plan if "Aggregate(" in line]
+        assert "HashAggregate" in kinds and "SortAggregate" not in kinds[kinds.index("HashAggregate"):]
+        assert "ObjectHashAggregate" not in kinds
+    registry = labels.label_registry(events, AS_OF).rows.filter("dimension = 'user'")
+    assert [r.value for r in registry.orderBy("position").collect()] == ["c", "b", "a", "d"]
+
+
 def test_gzip_in_pieces():
     """Members, padding and damage at every cut of the data into pieces; large zeros inflate in bounds."""
     one = gzip.compress(b"line\n" * 1000)
