@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's folder for checkpoints: spark.checkpoint.dir, or the one set on the context.
 
-    A session with neither gets a folder of its own, which stays its setting from then on; a
-    cluster must name one that all machines share.
+    A session on one machine with neither gets a folder of its own, which stays its setting from
+    then on; a cluster must name one that all machines share, else this is an error.
     """
-    context = spark.sparkContext
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loginlake-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        context.setCheckpointDir(named or own_folder(context.master))
+    return named or context.getCheckpointDir()
+
+
+def own_folder(master: str) -> str:
+    """A new folder of this machine, for sessions whose tasks all run on it."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return tempfile.mkdtemp(prefix="loginlake-")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from loginlake.functions.sources import add_source_details, is_ip_address
 from loginlake.functions.timestamps import parse_time_argument, within
 from loginlake.operators import enrich, failures, labels, metrics, sessions
 from loginlake.operators.parse import is_recognised, parse_auth_events
+from loginlake.operators.storage import own_folder
 from loginlake.plans import reports, tables
 from loginlake.sources import integrity, logs, who
 from loginlake.sources.files import filesystem
@@ -362,6 +363,13 @@ def test_first_sightings_are_hashed(spark, tmp_path):
     assert [r.value for r in registry.orderBy("position").collect()] == ["c", "b", "a", "d"]
 
 
+def test_a_cluster_names_its_folder():
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            own_folder(master)
+    assert own_folder("local[8]") != own_folder("local")
+
+
 def test_gzip_in_pieces():
     """Members, padding and damage at every cut of the data into pieces; large zeros inflate in bounds."""
     one = gzip.compress(b"line\n" * 1000)
