@@ -52,3 +52,8 @@ def move_in(spark: SparkSession, folder: str, target: str) -> None:
     source, files = _path(spark, folder)
     if not files.rename(source, _path(spark, target)[0]):
         raise OSError(f"cannot move {folder} to {target}")
+
+
+def delete_tree(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)

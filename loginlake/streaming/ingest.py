@@ -24,9 +24,9 @@ from ..operators.sessions import CLOSED, DONE, OPENED, in_chunks, session_rows
 from ..operators.storage import move_in, names_in
 from ..schemas import LABEL_CAPS, auth_events
 from . import keyed
+from .registry import SharedRegistry
 from .state import BatchTable, CarriedState
 
-_REGISTRY = "dimension string, value string, display string, position int"
 _COUNTER_LABELS = ["user", "source_ip", "source_display", "auth_method", "error_type"]
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -82,8 +82,12 @@ class AuthLogStream:
     as_of: object = None
     caps: dict = field(default_factory=lambda: dict(LABEL_CAPS))
     max_age: str | None = None
+    registry: SharedRegistry | None = None
 
     def __post_init__(self):
+        if self.registry is None:
+            self.registry = SharedRegistry(self.spark, f"{self.base}/registry", self.caps)
+
         def table(name):
             return BatchTable(self.spark, f"{self.base}/{name}")
 
@@ -99,8 +103,9 @@ class AuthLogStream:
         self.settled, self.edge_sessions, self.edge_failed = (
             table(n) for n in ("settled", "edge_sessions", "edge_failed_attempts")
         )
-        self.registry, self.counters = state("registry"), state("counters")
-        self.durations, self.hours, self.totals = state("durations"), state("hours"), state("totals")
+        self.counters, self.durations, self.hours, self.totals = (
+            state(n) for n in ("counters", "durations", "hours", "totals")
+        )
         self.new_users, self.samples = table("new_users"), table("samples")
         # results of the window jobs, which several outputs of a batch are made from
         self.chunks, self.reports = state("chunks"), state("reports")
@@ -192,7 +197,7 @@ class AuthLogStream:
         if not batches:  # only timers went off
             if written is not None:
                 self.edge_failed.write(written, batch_id)
-            for state in (self.registry, self.counters, self.durations, self.hours, self.totals):
+            for state in (self.counters, self.durations, self.hours, self.totals):
                 state.write(state.after(batch_id - 1), batch_id)
             return
         finished = self.edge_sessions.write(sessions, batch_id).unionByName(self.inner_sessions.read_batches(batches))
@@ -294,12 +299,11 @@ class AuthLogStream:
         return max(int(n) for n in names_in(self.spark, f"{self.base}/checkpoint-keys/commits") if n.isdigit())
 
     def _registry(self, events: DataFrame, finished: DataFrame, batch_id: int) -> None:
-        known = self.registry.before(batch_id, _REGISTRY)
-        uses = labels.log_sightings(events, self.clock, finished)
-        self.registry.write(labels.extend_registry(LabelRegistry(known, self.caps), uses).rows, batch_id)
+        self.registry.extend("log", batch_id, labels.log_sightings(events, self.clock, finished))
 
     def label_registry(self, batch_id: int | None = None) -> LabelRegistry:
-        return LabelRegistry(self.registry.after(self.last_batch() if batch_id is None else batch_id), self.caps)
+        """The registry as a batch left it, by default the newest."""
+        return self.registry.latest() if batch_id is None else self.registry.of("log", batch_id)
 
     def counts(self) -> DataFrame:
         """The counters so far: metric, labels, value."""

@@ -12,6 +12,7 @@ from ..operators import labels
 from ..operators.labels import LabelRegistry, apply_labels
 from ..operators.metrics import latest_snapshot
 from ..sources.who import active_sessions
+from .registry import SharedRegistry
 from .state import BatchTable, CarriedState
 
 _SETS = "user string, source_ip string, source_display string, value bigint"
@@ -29,14 +30,14 @@ def read_snapshot_stream(spark: SparkSession, landing: str, max_files: int | Non
 class SnapshotStream:
     """Keeps the active-session and user-online gauges after each micro-batch.
 
-    ``registry`` is the label registry of the log, whose caps hold throughout, and
-    ``known_users`` (user) the users it has seen: a table, or a function that gives the
+    ``registry`` is the label registry of the log, whose caps hold throughout: one as it stands, or the
+    one that a log stream goes on extending.  ``known_users`` (user) the users it has seen: a table, or a function that gives the
     present one for each micro-batch.
     """
 
     spark: SparkSession
     base: str
-    registry: LabelRegistry | None = None
+    registry: LabelRegistry | SharedRegistry | None = None
     known_users: DataFrame | Callable[[], DataFrame] | None = None
 
     def __post_init__(self):
@@ -78,6 +79,8 @@ class SnapshotStream:
     def _names(self, active: DataFrame, users: DataFrame | None, batch_id: int) -> LabelRegistry | None:
         if self.registry is None:
             return None
+        if isinstance(self.registry, SharedRegistry):
+            return self.registry.extend("snapshots", batch_id, labels.snapshot_sightings(active, users))
         known = self.registry if batch_id == 0 else LabelRegistry(self.names.before(batch_id), self.registry.caps)
         grown = labels.extend_registry(known, labels.snapshot_sightings(active, users))
         self.names.write(grown.rows, batch_id)

@@ -10,6 +10,7 @@ from loginlake.operators.parse import parse_auth_events
 from loginlake.sources import derived
 from loginlake.sources.who import active_sessions
 from loginlake.streaming.ingest import AuthLogStream, read_segments
+from loginlake.streaming.registry import SharedRegistry
 from loginlake.streaming.snapshots import SnapshotStream, read_snapshot_stream
 
 AS_OF = "2024-02-01"
@@ -229,3 +230,27 @@ def test_snapshot_caps_and_users_hold_in_every_batch(spark, tmp_path):
     assert online == {"ann": 0, "__other__": 1}
     named = {(r.user, r.source_ip): r.value for r in stream.active.after(2).collect()}
     assert named == {("ann", "10.2.0.1"): 0, ("__other__", "__other__"): 1}
+
+
+def test_one_registry_for_both_streams(spark, tmp_path):
+    """Caps 1/1/1 over mixed batches: one name per dimension in both outputs; a repeated batch changes nothing."""
+    names = SharedRegistry(spark, str(tmp_path / "names"), {"user": 1, "source_ip": 1, "auth_method": 1})
+    logs = AuthLogStream(spark, str(tmp_path / "log"), AS_OF, registry=names)
+    snapshots = SnapshotStream(spark, str(tmp_path / "who"), registry=names)
+    (tmp_path / "in").mkdir()
+    accepted = "Accepted {} for {} from 10.0.0.{} port 1 ssh2"
+    for n, (user, seen) in enumerate((("ann", "bob"), ("bob", "ann"), ("cat", "dan"))):
+        who = spark.createDataFrame([(f"s{n}", 0, f"{seen} pts/0 2026-03-1{n} 12:00 (10.2.0.{n + 1})")], "snapshot_id string, line_no bigint, value string")
+        if n == 0:  # a snapshot comes first
+            snapshots.process(who, n)
+        place(tmp_path / "in", f"seg-{n}", [line(n, 0, accepted.format(f"m{n}", user, n))], n)
+        logs.run(read_segments(spark, str(tmp_path / "in")))
+        if n > 0:
+            snapshots.process(who, n)
+            snapshots.process(who, n)
+    rows = {(r.dimension, r.value) for r in names.latest().rows.collect()}
+    assert rows == {("user", "bob"), ("source_ip", "10.2.0.1"), ("auth_method", "m0")}
+    counted = {(r.user, r.source_ip, r.auth_method): r.value for r in logs.counts().collect()}
+    assert counted == {("__other__", "__other__", "m0"): 1, ("bob", "__other__", "__other__"): 1, ("__other__", "__other__", "__other__"): 1}
+    assert {(r.user, r.source_ip) for r in snapshots.active.after(2).collect()} == {("bob", "10.2.0.1"), ("__other__", "__other__")}
+    assert len(names._versions()) == 2
