@@ -122,7 +122,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def _identified(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id_column).alias("id"), F.hash(body).alias("h"), body.alias("text"))
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
 
 
 def _anchor_rows(texts: DataFrame, kind: str) -> DataFrame:
@@ -153,7 +153,7 @@ def _anchor_rows(texts: DataFrame, kind: str) -> DataFrame:
 
         return apply
 
-    return map_batches(texts, make, f"key bigint, wide bigint, id {kind}, h int, lo int, hi int, p int")
+    return map_batches(texts, make, f"key bigint, wide bigint, id {kind}, h bigint, lo int, hi int, p int")
 
 
 def _compressed(texts: DataFrame, kind: str) -> DataFrame:
@@ -167,7 +167,7 @@ def _compressed(texts: DataFrame, kind: str) -> DataFrame:
 
         return apply
 
-    return map_batches(texts, make, f"id {kind}, h int, body binary")
+    return map_batches(texts, make, f"id {kind}, h bigint, body binary")
 
 
 def sorted_pass(rows: DataFrame, group: str, member: str, keep: list[str], store: Store) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +213,7 @@ def _with_bodies(wanted: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
 
         return apply
 
-    schema = f"id {kind}, h int, key bigint, lo int, hi int, p int, n int, begin int, size int, bytes binary"
+    schema = f"id {kind}, h bigint, key bigint, lo int, hi int, p int, n int, begin int, size int, bytes binary"
     return map_batches(joined.select("d.id", "d.h", "body", "rows"), make, schema)
 
 
@@ -264,7 +264,7 @@ def _block_rows(bodies: DataFrame, kind: str) -> DataFrame:
 
         return apply
 
-    return map_batches(bodies, make, f"g bigint, whole bigint, id {kind}, h int, n int, row int, lo int, hi int")
+    return map_batches(bodies, make, f"g bigint, whole bigint, id {kind}, h bigint, n int, row int, lo int, hi int")
 
 
 def _window_rows(bodies: DataFrame, kind: str) -> DataFrame:
@@ -287,7 +287,7 @@ def _window_rows(bodies: DataFrame, kind: str) -> DataFrame:
 
         return apply
 
-    return map_batches(bodies, make, f"g bigint, whole bigint, id {kind}, h int, n int, lo int")
+    return map_batches(bodies, make, f"g bigint, whole bigint, id {kind}, h bigint, n int, lo int")
 
 
 def repeated_windows(texts: DataFrame, kind: str, store: Store) -> list[DataFrame]:
@@ -320,7 +320,8 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts, store = _identified(docs, id_column, text), Store(docs.sparkSession, "suffix")
     found = repeated_windows(texts, kind, store)
     every = found[0].unionByName(found[1]).unionByName(found[2])
-    lists = every.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+    # a set, as rows of equal id and text bring the same windows
+    lists = every.groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
     joined = _compressed(texts, kind).alias("d").join(
         lists.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h")), "left"
     )
