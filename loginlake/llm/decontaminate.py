@@ -16,8 +16,11 @@ question of under five words is one shingle.
 Null and empty texts have no matches. Items that are null or have under five words are left out,
 as nothing could be verified. Equal items are all reported; an item found in several windows is
 reported once, with its best window. Repeated rows give equal rows. Words are taken from whole
-texts. Items are sent to the tasks in shards of a bounded size, one pass over the documents per
-shard. Only text columns are read; an output column replaces one of the same name.
+texts. Document frequencies, number, mean and greatest length of the items are counted once over all of
+them. Items are sent to the tasks in shards of a bounded size; with several, each shard is a pass of its own
+over the documents, whose matches so far are stored in between, so a task holds one shard's index at a time
+and the number of shards changes no result. Matches of a document are in order of item and place. Only text
+columns are read; an output column replaces one of the same name.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from .common import map_batches, read_table, strings
+from .common import Store, map_batches, read_table, strings
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 BLOCK = 4
-#: Characters of items in one shard; its index is a small multiple of that.
+#: Twice the characters of items in one shard; its index is a small multiple of that.
 SHARD_CHARS = 16_000_000
 WORDS = re.compile(r"\w+")
 
@@ -80,26 +83,40 @@ class Item:
     answer: set
 
 
+@dataclass
+class Corpus:
+    """What scores need to know of all items: their number, words, greatest length, and the items with a word."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
     """Postings by term, block maxima by term, and the greatest impact of each term."""
 
-    def __init__(self, rows: Sequence[tuple[object, str]], threshold: float = THRESHOLD, block: int = BLOCK):
+    def __init__(
+        self, rows: Sequence[tuple[object, str]], threshold: float = THRESHOLD, block: int = BLOCK, corpus: Corpus | None = None
+    ):
         parsed = [(key, text, split_words(text)) for key, text in rows if text]
         parsed = sorted((x for x in parsed if len(x[2]) >= SHINGLE), key=lambda x: len(x[2]))  # alike in a block
         self.items, self.block = [], block
         for key, text, _ in parsed:
             question, answer = question_and_answer(text)
             self.items.append(Item(key, shingles(question), set(answer)))
-        self.step = max((len(x[2]) * 5 // 4 + 1 for x in parsed), default=1)
         self.terms: dict[str, int] = {}
         counts = [Counter(words) for _, _, words in parsed]
-        df = Counter(chain.from_iterable(counts))
-        average = sum(len(words) for _, _, words in parsed) / max(1, len(parsed))
+        if corpus is None:  # these are all items
+            lengths = [len(words) for _, _, words in parsed]
+            corpus = Corpus(len(parsed), sum(lengths), max(lengths, default=0), Counter(chain.from_iterable(counts)))
+        self.step = corpus.longest * 5 // 4 + 1
+        df, total, average = corpus.df, corpus.items, corpus.words / max(1, corpus.items)
         rows_ = []
         for number, ((_, _, words), count) in enumerate(zip(parsed, counts, strict=True)):
             norm = K1 * (1 - B + B * len(words) / average)
             impacts = {
-                w: np.log1p((len(parsed) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in count.items()
+                w: np.log1p((total - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in count.items()
             }
             least = threshold * sum(impacts.values())
             rows_ += [(self.terms.setdefault(w, len(self.terms)), number, x / least) for w, x in impacts.items()]
@@ -174,14 +191,33 @@ class Index:
         return [best[number] for number in sorted(best)]
 
 
-def _shards(items: DataFrame, id_column: str, text: str) -> list[DataFrame]:
+def _shards(items: DataFrame, id_column: str, text: str, store: Store) -> tuple[DataFrame, DataFrame, Corpus, int]:
+    """Stored items (id, text, shard), stored (shard, word, df), the corpus without its words, and the number of shards."""
+
+    def make() -> Callable[[pa.RecordBatch], Iterable[dict]]:
+        def apply(batch):
+            words = [split_words(x) for x in strings(batch)]
+            kept = pa.array([k for k, x in enumerate(words) if len(x) >= SHINGLE], pa.int64())
+            words = [words[k] for k in kept.to_pylist()]
+            yield {
+                "id": batch.column("id").take(kept),
+                "text": batch.column("text").take(kept),
+                "n": [len(x) for x in words],
+                "words": [sorted(set(x)) for x in words],
+            }
+
+        return apply
+
     slim = items.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = 1 + chars * 2 // SHARD_CHARS
-    if count == 1:
-        return [slim]
-    shard = F.pmod(F.xxhash64("id", "text"), F.lit(count))
-    return [slim.where(shard == k) for k in range(count)]
+    schema = StructType().add("id", items.schema[id_column].dataType).add("text", "string").add("n", "long").add("words", ArrayType(StringType()))
+    parsed = store.save(map_batches(slim, make, schema), "items")
+    count, words, longest, chars = parsed.agg(F.count("*"), F.sum("n"), F.max("n"), F.sum(F.length("text"))).first()
+    shards = 1 + (chars or 0) * 2 // SHARD_CHARS
+    parsed = parsed.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    terms = parsed.select("shard", F.explode("words").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("n"))
+    df = terms.groupBy("word").agg(F.sum("n").alias("df"))
+    terms = store.save(terms.select("shard", "word").join(df, "word"), "terms")
+    return parsed.select("id", "text", "shard"), terms, Corpus(count, words or 0, longest or 0, {}), shards
 
 
 def add_matches(
@@ -204,21 +240,35 @@ def add_matches(
         .add("end_word", LongType())
     )
     out, schema = docs.select(*kept), docs.select(*kept).schema.add(name, ArrayType(one))
-    for number, shard in enumerate(_shards(items, item_id, item_text)):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in shard.collect()])
+    store, before = Store(docs.sparkSession, "benchmark"), None
+    rows, terms, corpus, shards = _shards(items, item_id, item_text, store)
+    for number in range(shards):
+        here = F.col("shard") == number
+        df = {r.word: r.df for r in terms.where(here).select("word", "df").collect()}
+        found = [tuple(r) for r in rows.where(here).select("id", "text").collect()]
+        shared = docs.sparkSession.sparkContext.broadcast((found, Corpus(corpus.items, corpus.words, corpus.longest, df)))
 
         def make(shared=shared, number=number) -> Callable[[pa.RecordBatch], Iterable[dict]]:
-            index = Index(shared.value)
+            own, known = shared.value
+            index = Index(own, corpus=known)
 
             def apply(batch):
                 found = [index.search(x) for x in strings(batch, text)]
                 if number:
                     found = [a + b for a, b in zip(batch.column(name).to_pylist(), found, strict=True)]
+                for x in found:
+                    x.sort(key=lambda m: (str(m["item_id"]), m["first_word"]))
                 yield {c: batch.column(c) for c in kept} | {name: found}
 
             return apply
 
         out = map_batches(out, make, schema)
+        if number < shards - 1:  # the next pass reads what this one found
+            stored = store.save(out, f"matches-{number}")
+            if before is not None:
+                store.drop(before)
+            out = before = stored
+            shared.destroy()
     return out
 
 

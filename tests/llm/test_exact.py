@@ -301,3 +301,27 @@ def test_decontamination(spark, tables):
 
 def test_chi_squared():
     assert abs(quality.chi_squared_quantile(0.95, 6) - 12.5916) < 1e-3
+
+
+def test_number_of_shards_changes_nothing(spark, tables, monkeypatch):
+    where, _ = tables
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    items = spark.read.parquet(f"{where}/benchmark.parquet")
+
+    def found():
+        rows = decontaminate.add_matches(docs.select("doc_id", "text"), items).select("doc_id", decontaminate.F.explode("matches").alias("m"))
+        key = lambda r: (str(r.doc_id), r.m.item_id, r.m.first_word)
+        return [(r.doc_id, r.m.item_id, round(r.m.score, 9), r.m.first_word, r.m.end_word) for r in sorted(rows.collect(), key=key)]
+
+    whole = found()
+    chars = sum(len(r.text or "") for r in items.collect())
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars // 2)
+    assert whole and found() == whole
+
+
+def test_equal_rows_without_id(spark):
+    """Many equal rows are each other's repetition, and each comes out once."""
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(None, text)] * 30 + [(None, "another text of its own " + text[:50])]
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(len(r.kept) for r in got) == [0] * 30 + [74]
