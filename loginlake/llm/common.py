@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,21 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.storage import checkpoint_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a session without one (tests) gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = checkpoint.get() if checkpoint.isDefined() else None
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="loginlake-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder of spark.checkpoint.dir; a session on one machine without one (tests) gets its own."""
+    return checkpoint_folder(spark)
 
 
 class Store:
@@ -88,3 +82,14 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def fold(column: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column) % folds, F.lit(0))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, map_batches, read_table, utf8
+from .common import free_names, Store, map_batches, read_table, utf8
 from .components import components
 
 SEED = 42
@@ -260,16 +260,15 @@ def representatives(
     counted = found.groupBy("fp", "id").agg(F.count("*").alias("rows"))
     least = counted.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp", "rows")).alias("first"))
     placed = _placed(store.save(least, "least"), store, max_bits)
+    name, fp, least_id, rows = free_names(docs, "stage_fp", "chosen_fp", "chosen_id", "chosen_rows")
     chosen = placed.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.fp").alias("stage_fp"), F.col("first.id").alias("stage_id"), F.col("first.rows").alias("stage_rows")
+        F.col("first.fp").alias(fp), F.col("first.id").alias(least_id), F.col("first.rows").alias(rows)
     )
-    chosen = store.save(chosen, "chosen").withColumnRenamed("stage_fp", "chosen_fp")
-    full = fingerprints(docs, text, shingle, name="stage_fp")
-    kept = full.join(
-        chosen, (full["stage_fp"] == chosen["chosen_fp"]) & full[id_column].eqNullSafe(chosen["stage_id"])
-    )
-    once = kept.where("stage_rows = 1").select(docs.columns)
-    repeated = kept.where("stage_rows > 1").dropDuplicates(["stage_fp"]).select(docs.columns)
+    chosen = store.save(chosen, "chosen")
+    full = fingerprints(docs, text, shingle, name=name)
+    kept = full.join(chosen, (full[name] == chosen[fp]) & full[id_column].eqNullSafe(chosen[least_id]))
+    once = kept.where(F.col(rows) == 1).select(docs.columns)
+    repeated = kept.where(F.col(rows) > 1).dropDuplicates([name]).select(docs.columns)
     return once.unionByName(repeated)
 
 

@@ -2,7 +2,10 @@
 returns the columns of its input; only the last adds columns.
 
 Stages return lazy tables; the caller writes them and reads them again. Documents keep their
-columns whatever these are called; added columns have names of their own.
+columns whatever these are called, as columns added on the way take names that are free.
+
+In all stages null and empty texts, ties and very long texts are as the operators say; repeated rows stay
+unless the stage says otherwise, and empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -12,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, secrets, simhash
-from .common import read_table
+from .common import free_names, read_table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told, that is those with a letter; profiles are
     learned from the given rows that have a language."""
     found = language_id.profiles(docs.where(language_id.training_rows(docs)))
-    told = language_id.predict(docs, found, names=("stage_lang", "stage_score"))
-    return told.where(F.col("stage_lang") != language_id.UNDETERMINED).select(docs.columns)
+    lang, score = free_names(docs, "stage_lang", "stage_score")
+    told = language_id.predict(docs, found, names=(lang, score))
+    return told.where(F.col(lang) != language_id.UNDETERMINED).select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,19 +34,22 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which no benchmark item is found."""
-    found = decontaminate.add_matches(docs, read_table(spark, sf_dir, "benchmark"), name="stage_matches")
-    return found.where(F.size("stage_matches") == 0).select(docs.columns)
+    """Keeps documents in which no benchmark item is found, those without text among them."""
+    (name,) = free_names(docs, "stage_matches")
+    found = decontaminate.add_matches(docs, read_table(spark, sf_dir, "benchmark"), name=name)
+    return found.where(F.size(name) == 0).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents; secrets are replaced by a mark, and n_chars is that of the new text."""
-    found = secrets.scan(docs, name="stage_spans")
-    text = secrets.redact(F.col("text"), F.col("stage_spans"))
+    """Keeps all documents; secrets are replaced by a mark, and n_chars is that of the new text. A null
+    text stays null."""
+    (name,) = free_names(docs, "stage_spans")
+    found = secrets.scan(docs, name=name)
+    text = secrets.redact(F.col("text"), F.col(name))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.size("stage_spans") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.size(name) > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
     return found.withColumns(changed).select(docs.columns)
 
 

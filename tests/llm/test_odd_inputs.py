@@ -20,6 +20,20 @@ def test_query(spark, folder, name):
     assert query(spark, folder["empty"]).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Columns called like those that stages add on the way come out as they went in."""
+    from pyspark.sql import functions as F
+
+    names = ("stage_lang", "stage_score", "stage_fp", "chosen_fp", "chosen_id", "chosen_rows", "stage_matches", "Stage_Spans")
+    docs = spark.read.parquet(f"{folder['full']}/documents.parquet").where("doc_id < 12")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder["full"])
+        assert after.dtypes == docs.dtypes
+        rows = after.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
+
+
 def test_pipeline(spark, folder):
     before = spark.read.parquet(f"{folder['full']}/documents.parquet")
     columns = before.columns
