@@ -37,6 +37,7 @@ import functools
 import io
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -70,6 +71,8 @@ MAGIC = b"RID1"
 # cuts: after a letter and before punctuation, and the other way round; the apostrophe begins contractions
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARK = r"!-&(-/:-@\[-`{-~"
+#: Letters without a mark that could be joined or lost, whose lower case is one letter.
+WORD = re.compile(f"[{LETTER}]+")
 #: Texts that are encoded whole.
 UNCUT = r"\p{M}|<\|"
 
@@ -79,10 +82,11 @@ class PieceEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.normal, self.split, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
@@ -90,6 +94,9 @@ class PieceEncoder:
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isalpha():
             ids = [t.id for t in self.model.tokenize(piece)]
+        elif WORD.fullmatch(piece):  # normal but for case, and not to be split
+            (part, _), *_ = self.letters.pre_tokenize_str(piece.lower())
+            ids = [t.id for t in self.model.tokenize(part)]
         else:
             parts = self.split.pre_tokenize_str(self.normal.normalize_str(piece))
             ids = [t.id for part, _ in parts for t in self.model.tokenize(part)]
