@@ -250,6 +250,14 @@ def test_rows_without_id_stay_apart(spark):
     assert len(got) == 4
 
 
+def test_units_of_every_document_are_counted(spark):
+    """Also of those in which nothing is repeated."""
+    shared = " ".join(f"w{k}" for k in range(40)) + "."
+    rows = [(1, shared + " Mine."), (2, shared + "\nYours. Really!"), (3, "Alone here. Twice.\nOr more?"), (4, ""), (5, None), (None, "One.")]
+    got = line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.id: r.n_units for r in got} == {1: 2, 2: 3, 3: 3, 4: 0, 5: 0, None: 1}
+
+
 def test_pseudonyms():
     feistel = pseudonyms.Feistel(b"k")
     for space in ((10, 10), (1, 7), (13, 17)):
