@@ -3,9 +3,9 @@
 A task takes the distinct words (pattern matches) of its texts and writes them as rows of
 (word, position, token), one per byte. A recursive query joins neighbouring tokens with the
 merge table, contracts each word's leftmost pair of minimum rank, and goes on with the words
-that still changed until none does. An ordered aggregation of the vocabulary's byte strings
-decodes. Words are put together again by their order in each text, so ids and decoded bytes are
-those of the whole text.
+that still changed until none does. A join with the vocabulary's byte strings, ordered by word and
+position, decodes. Words are put together again by their order in each text, so ids and decoded
+bytes are those of the whole text.
 
 Long words (of 64 bytes or more) take all occurrences of their minimum rank in one step, non-overlapping
 from the left. That gives the same ids where the new token is part of no merge of lower rank;
@@ -41,20 +41,28 @@ LONG = 64
 #: Words remembered per Python worker: two generations of this many.
 REMEMBERED = 400_000
 
-#: A cell is a position and a token as one number, position first, so cells sort by position.
+#: A cell is a position and a token as one number, position first, so cells sort by position. Each keeps the
+#: cell after it and what both merge to; a step looks up only the two pairs that the new token is part of:
+#: the absorbed cell's row becomes the new token's, the row of the pair's first token goes.
 _SHORT_SQL = """
-WITH RECURSIVE steps(w, cell, step) AS (
-  SELECT w::INTEGER, (pos * 65536 + tok)::INTEGER, 0::UTINYINT FROM words
+WITH RECURSIVE steps(w, cell, next_cell, merged, step) AS (
+  SELECT w, cell, next_cell, m.merged, 0::UTINYINT
+  FROM (SELECT w, cell, lead(cell) OVER (PARTITION BY w ORDER BY cell) AS next_cell
+        FROM (SELECT w::INTEGER AS w, (pos * 65536 + tok)::INTEGER AS cell FROM words))
+  LEFT JOIN short_merges m ON m.pair = (cell & 65535)::BIGINT * 65536 + (next_cell & 65535)
   UNION ALL
-  (WITH pairs AS MATERIALIZED (
-     SELECT p.*, m.merged, m.merged * 64 + (p.cell >> 16) AS place
-     FROM (SELECT *, lead(cell) OVER (PARTITION BY w ORDER BY cell) AS next_cell FROM steps) p
-     LEFT JOIN short_merges m ON m.pair = (p.cell & 65535)::BIGINT * 65536 + (p.next_cell & 65535)),
-   chosen AS (
-     SELECT w, min(place) AS least_place, arg_min(next_cell, place) AS absorbed
-     FROM pairs WHERE place IS NOT NULL GROUP BY w)
-   SELECT w, CASE WHEN place = least_place THEN (cell >> 16) * 65536 + merged ELSE cell END, step + 1::UTINYINT
-   FROM pairs JOIN chosen USING (w) WHERE cell <> absorbed)
+  (WITH chosen AS (
+     SELECT w, min(place) AS place, arg_min(next_cell, place) AS absorbed
+     FROM (SELECT w, next_cell, merged * 64 + (cell >> 16) AS place FROM steps WHERE merged IS NOT NULL) GROUP BY w),
+   moved AS (
+     SELECT w, merged, step, CASE WHEN cell = absorbed THEN new_cell ELSE cell END AS cell,
+            CASE WHEN next_cell >> 16 = new_cell >> 16 THEN new_cell ELSE next_cell END AS next_cell,
+            cell = absorbed OR coalesce(next_cell >> 16 = new_cell >> 16, false) AS changed
+     FROM steps JOIN (SELECT w, absorbed, (place & 63) * 65536 + (place >> 6) AS new_cell FROM chosen) USING (w)
+     WHERE cell >> 16 <> new_cell >> 16)
+   SELECT w, cell, next_cell, CASE WHEN changed THEN m.merged ELSE p.merged END, step + 1::UTINYINT
+   FROM moved p LEFT JOIN short_merges m
+     ON m.pair = CASE WHEN changed THEN (cell & 65535)::BIGINT * 65536 + (next_cell & 65535) END)
 )
 SELECT w, cell >> 16 AS pos, cell & 65535 AS tok
 FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
@@ -84,10 +92,7 @@ WITH RECURSIVE steps(w, pos, tok, step) AS (
 SELECT w, pos, tok FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
 """
 
-_FINISH_SQL = """
-SELECT w, list(tok ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS decoded
-FROM final JOIN vocabulary ON tok = id GROUP BY w
-"""
+_FINISH_SQL = "SELECT w, tok, bytes FROM final JOIN vocabulary ON tok = id ORDER BY w, pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,23 +158,21 @@ class Encoder:
             self.db.register("words", final)
             long = len(final) < len(before)
         self.db.register("final", final)
-        out: list = [None] * len(words)
+        # the rows of a word follow each other, so its ids and its bytes are one slice of them all
         done = self.db.sql(_FINISH_SQL).to_arrow_table()
-        ids, decoded = done.column("ids").combine_chunks(), done.column("decoded").combine_chunks()
-        cuts, values = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype(np.int32).tobytes()
-        # the pieces of a word follow each other, so its bytes are one slice of them all
-        ends = decoded.values.cast(pa.large_binary()).buffers()
-        marks = np.frombuffer(ends[1], np.int64)[decoded.offsets.to_numpy()].tolist()
+        rows = np.searchsorted(done.column("w").to_numpy(), np.arange(len(words) + 1))
+        values = done.column("tok").to_numpy().astype(np.int32).tobytes()
+        ends = done.column("bytes").combine_chunks().cast(pa.large_binary()).buffers()
+        cuts, marks = (rows * 4).tolist(), np.frombuffer(ends[1], np.int64)[rows].tolist()
         joined = ends[2].to_pybytes() if ends[2] else b""
-        for i, w in enumerate(done.column("w").to_pylist()):
-            out[w] = values[cuts[i] : cuts[i + 1]], joined[marks[i] : marks[i + 1]]
-        return out
+        return [
+            (values[a:b], joined[c:d]) for a, b, c, d in zip(cuts, cuts[1:], marks, marks[1:], strict=False)
+        ]
 
     def words(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        found, new, long = {}, [], []
-        for word in wanted:
-            known = self.young.get(word) or self.old.get(word)
-            if known:
+        found, new, long = dict(zip(wanted, map(self.young.get, wanted), strict=True)), [], []
+        for word in [w for w, known in found.items() if known is None]:
+            if known := self.old.get(word):
                 found[word] = self.young[word] = known
             elif len(body := word.encode()) < self.short:
                 new.append((word, body))

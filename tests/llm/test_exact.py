@@ -250,6 +250,18 @@ def test_rows_without_id_stay_apart(spark):
     assert len(got) == 4
 
 
+def test_bpe_of_texts_in_one_batch(spark):
+    """Texts without words between others, whole batches without any, and words up to the length of a short one."""
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [None, "", "same same\n\n same", "", "z" * 63, " " + "ab" * 31, "z" * 64, "same", None]
+    for some in (texts, [None, "", None], texts[2:3]):
+        docs = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").coalesce(1)
+        got = bpe.encode(docs, path).orderBy("doc_id").collect()
+        assert [bytes(r.decoded).decode() for r in got] == [x or "" for x in some]
+        assert [r.ids for r in got] == [plain.encode_ordinary(x or "") for x in some]
+
+
 def test_units_of_every_document_are_counted(spark):
     """Also of those in which nothing is repeated."""
     shared = " ".join(f"w{k}" for k in range(40)) + "."
