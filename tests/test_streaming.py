@@ -1,5 +1,6 @@
 """Micro-batches give what one run over the whole log gives."""
 
+import gzip
 import os
 
 import pytest
@@ -254,3 +255,24 @@ def test_one_registry_for_both_streams(spark, tmp_path):
     assert counted == {("__other__", "__other__", "m0"): 1, ("bob", "__other__", "__other__"): 1, ("__other__", "__other__", "__other__"): 1}
     assert {(r.user, r.source_ip) for r in snapshots.active.after(2).collect()} == {("bob", "10.2.0.1"), ("__other__", "__other__")}
     assert len(names._versions()) == 2
+
+
+def test_a_segment_read_by_one_task_is_parsed_by_several(spark, log, tmp_path):
+    """A gzip file is one task's to read; its lines are dealt out and keep their order."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "seg-0.gz").write_bytes(gzip.compress("".join(text + "\n" for text in log).encode()))
+    stream = AuthLogStream(spark, str(tmp_path / "out"), AS_OF)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions are not put together again
+    spark.conf.set(name, "false")
+    try:
+        query = stream.ingest(read_segments(spark, str(landing)), {"availableNow": True})
+        query.awaitTermination(300)
+        assert query.exception() is None
+    finally:
+        spark.conf.unset(name)
+    events = stream.events.read_batch(0)
+    assert len(events.inputFiles()) > 1
+    columns = ("host", "pid", "kind", "user", "source_ip", "port", "auth_method", "invalid_user", "ts")
+    want = whole_log(spark, log)
+    assert [r[:] for r in events.orderBy("seq").select(*columns).collect()] == [r[:] for r in want.orderBy("seq").select(*columns).collect()]
