@@ -14,7 +14,7 @@ from loginlake.functions.timestamps import parse_time_argument, within
 from loginlake.operators import enrich, failures, labels, metrics, sessions
 from loginlake.operators.parse import is_recognised, parse_auth_events
 from loginlake.operators.storage import own_folder
-from loginlake.plans import reports, tables
+from loginlake.plans import catalog, reports, tables
 from loginlake.sources import integrity, logs, who
 from loginlake.sources.files import filesystem
 
@@ -402,6 +402,27 @@ def test_empty_and_odd_files(spark, tmp_path):
     assert integrity.file_state(*filesystem(str(home / "gone.gz"))) == "unreadable"
 
 
+def test_damage_is_made_of_all_lines(spark, tmp_path):
+    """Every day of the table, whatever the number of files its lines fill; an empty table gives one empty file."""
+    days = [datetime(2024, 1, d, 12) for d in (3, 4, 27, 30, 31)]
+    # an odd purchase is one line, a signup whose id no 7 divides two, an odd view a line of another daemon
+    rows = [(n, n % 9, kind, days[n % 5]) for n, kind in ((2 * k + 1, ("purchase", "signup", "view")[k % 3]) for k in range(300))]
+    auth = sum({"purchase": 1, "signup": 1 + (n % 7 > 0), "view": int(n % 4 > 1)}[kind] for n, _, kind, _ in rows)
+    cron = sum(kind == "view" and n % 4 == 1 for n, _, kind, _ in rows)
+    table = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    for name, adaptive, n in (("one", "true", 1), ("several", "false", 1), ("none", "true", 0)):
+        (table if n else table.limit(0)).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = catalog.queries()["ingest_damage"](spark, f"{tmp_path}/{name}").collect()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", before)
+        assert sorted(map(tuple, got)) == [
+            ("auth.log.1.gz", 2 * n * (auth + cron), 2 * n * auth, "ok"), *[(f"auth.log.{k}.gz", None, None, "degraded") for k in (2, 3, 4)],
+            ("auth.log.5", 0, 0, "ok"), ("auth.log.6.gz", 0, 0, "ok")]
+
+
 def test_hosts_with_equal_file_names_stay_apart(spark, tmp_path):
     good = gzip.compress((head("Invalid user kim from 10.1.0.1") + "\n").encode())
     for host, data in (("h1", good + good), ("h2", good[:-3]), ("h3", b"no gzip at all")):
